@@ -9,8 +9,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own_dir: list[str] = []
 
@@ -62,6 +64,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             first = last
 
 
+def packed_text(df: DataFrame) -> DataFrame:
+    """``df`` with ``text`` as zstd frames, null where it is null: half the bytes in a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in slices(batches):
+            at = batch.schema.get_field_index("text")
+            texts = pa.array([None if t is None else pack(t.encode()) for t in batch.column(at).to_pylist()], pa.binary())
+            yield pa.record_batch([texts if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
+
+    return df.mapInArrow(run, T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in df.schema]))
+
+
+def unpacked_texts(column: pa.Array) -> Iterator[bytes | None]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    for x in column.to_pylist():
+        yield None if x is None else unpack(x)
+
+
 def text_offsets(column: pa.Array) -> np.ndarray:
     width = np.int64 if pa.types.is_large_string(column.type) else np.int32
     if not len(column):

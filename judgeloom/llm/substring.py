@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, hash_words, mix, read_table, row_key, slices, written
+from .common import SPACE_WORDS, hash_words, mix, packed_text, read_table, row_key, slices, unpacked_texts, written
 
 WINDOW = 35
 #: Words of an anchor: the passage whose hash is least among those of a window names the reference block it goes to.
@@ -102,8 +102,9 @@ def _passages(window: int, most: int = 200_000):
             out.append((hash(place), *place, None))
 
         for batch in batches:
-            for doc_id, th, text, runs in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                w = text.encode().split()
+            doc_ids, ths, all_runs = (batch.column(k).to_pylist() for k in (0, 1, 3))
+            for doc_id, th, text, runs in zip(doc_ids, ths, unpacked_texts(batch.column(2)), all_runs):
+                w = text.split()
                 for x in runs:
                     first, end = x["first"], x["first"] + x["windows"]
                     if not x["hot"]:
@@ -258,7 +259,8 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     often = often.select("anchor", (F.col("passages") > hot).alias("hot"))
     wanted = runs.join(often, "anchor").groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "windows", "anchor", "hot")).alias("runs"))
     w = wanted.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    sent = texts.join(w, texts.doc_id.eqNullSafe(w["_id"]) & (texts.th == w["_th"])).select("doc_id", "th", "text", "runs")
+    packed = packed_text(texts)
+    sent = packed.join(w, packed.doc_id.eqNullSafe(w["_id"]) & (packed.th == w["_th"])).select("doc_id", "th", "text", "runs")
     passages = sent.mapInArrow(_passages(window), _PARTS)
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     found = passages.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_parse_blocks(window, block_words), "doc_id long, th long, first int, last int")
@@ -266,13 +268,14 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
 
 def _with_spans(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with ``_spans``, null where nothing repeats."""
+    """The rows of ``docs``, ``text`` packed, with ``_spans``, null where nothing repeats."""
     spans = written(duplicate_spans(docs, **options), "spans").withColumnsRenamed({"doc_id": "_id", "th": "_th", "spans": "_spans"})
-    return docs.withColumn("_row", row_key()).join(spans, docs["doc_id"].eqNullSafe(spans["_id"]) & (F.col("_row") == spans["_th"]), "left").drop("_id", "_th", "_row")
+    packed = packed_text(docs.withColumn("_row", row_key()))
+    return packed.join(spans, packed["doc_id"].eqNullSafe(spans["_id"]) & (F.col("_row") == spans["_th"]), "left").drop("_id", "_th", "_row")
 
 
-def _kept(text: str | None, spans: list | None) -> tuple[int, int, bytes]:
-    w = (text or "").encode().split()
+def _kept(text: bytes | None, spans: list | None) -> tuple[int, int, bytes]:
+    w = (text or b"").split()
     if not spans:
         return len(w), 0, b" ".join(w)
     kept, at = [], 0
@@ -292,8 +295,8 @@ def removal(docs: DataFrame, **options) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = [_kept(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        for batch in batches:
+            rows = [_kept(t, s) for t, s in zip(unpacked_texts(batch.column(1)), batch.column(2).to_pylist())]
             yield pa.record_batch(
                 [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
@@ -313,7 +316,7 @@ def cut(docs: DataFrame, **options) -> DataFrame:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             spans = batch.column(batch.schema.get_field_index("_spans")).to_pylist()
-            texts = [_kept(t, s)[2].decode() if s else t for t, s in zip(batch.column(at).to_pylist(), spans)]
+            texts = [_kept(t, s)[2].decode() if s else None if t is None else t.decode() for t, s in zip(unpacked_texts(batch.column(at)), spans)]
             names = [x for x in batch.schema.names if x != "_spans"]
             yield pa.record_batch([pa.array(texts, pa.string()) if x == "text" else batch.column(batch.schema.get_field_index(x)) for x in names], names)
 
