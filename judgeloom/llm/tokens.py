@@ -20,7 +20,7 @@ SEQUENCE = 2048
 #: Sequences of a record batch: what a reader maps or copies at once.
 BATCH = 64
 #: Units of text whose ids a worker keeps; beyond that the older half goes.
-CACHE = 300_000
+CACHE = 450_000
 #: Bytes of text of a shard, that is of a file.
 SHARD_TEXT = 24 << 20
 TAIL = ".,;:!?"
@@ -174,7 +174,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     rows = docs.select("doc_id", "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(total // SHARD_TEXT) + 1, spark.sparkContext.defaultParallelism)
-    shards = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    shards = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
