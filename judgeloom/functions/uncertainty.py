@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 #: Token that stands for each label in a judge's first-token log-probabilities.
 TOKENS = {"A": "A", "B": "B", "tie": "T"}
 
@@ -60,7 +62,11 @@ def verbalized_metrics(confidence: Column) -> dict[str, Column]:
 
 def label_probabilities(tokens: Column) -> dict[str, Column]:
     """Softmax over the labels found among an array of (token, logprob); each by its best spelling, absent ones 0, none null."""
-    best = {k: F.array_max(F.transform(F.filter(tokens, lambda x, t=t: F.upper(F.trim(x["token"])) == t), lambda x: x["logprob"])) for k, t in TOKENS.items()}
+    def best_of(token: str) -> Column:
+        own = F.filter(tokens, lambda x: F.upper(strip(x["token"])) == token)
+        return F.array_max(F.transform(own, lambda x: x["logprob"]))
+
+    best = {k: best_of(t) for k, t in TOKENS.items()}
     top = F.greatest(*best.values())
     exps = {k: F.coalesce(F.exp(v - top), F.when(top.isNotNull(), F.lit(0.0))) for k, v in best.items()}
     total = reduce(lambda x, y: x + y, exps.values())
