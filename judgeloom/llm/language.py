@@ -107,13 +107,19 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, clusters: int = CE
     hashed ids are least (``SAMPLE_ALL`` in all). Rows without a letter are not learned from.
     """
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(sizes)
     counts = _document_counts(known)
     idf = (np.log((1 + counts[-1]) / (1 + counts[:-1])) + 0.1).astype(np.float32)
     each = max(20, min(sample, SAMPLE_ALL // max(1, len(languages))))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= each).select(F.col("doc_id").alias("_id"))
-    rows = known.join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("_id"), "left_semi").select("lang", "text")  # each * languages ids
+    # A share of each language's hashes that holds about four samples goes to the ranking, not every row.
+    share = F.lit(1.0)
+    for name in languages:
+        share = F.when(F.col("lang") == name, F.lit(min(1.0, 4 * each / sizes[name]))).otherwise(share)
+    some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    ids = some.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= each).select(F.col("doc_id").alias("_jl_id"))
+    rows = known.join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("_jl_id"), "left_semi").select("lang", "text")  # each * languages ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):

@@ -258,9 +258,9 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     often = runs.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("passages")).filter("total > 1")
     often = often.select("anchor", (F.col("passages") > hot).alias("hot"))
     wanted = runs.join(often, "anchor").groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "windows", "anchor", "hot")).alias("runs"))
-    w = wanted.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+    w = wanted.withColumnsRenamed({"doc_id": "_jl_id", "th": "_jl_th"})
     packed = packed_text(texts)
-    sent = packed.join(w, packed.doc_id.eqNullSafe(w["_id"]) & (packed.th == w["_th"])).select("doc_id", "th", "text", "runs")
+    sent = packed.join(w, packed.doc_id.eqNullSafe(w["_jl_id"]) & (packed.th == w["_jl_th"])).select("doc_id", "th", "text", "runs")
     passages = sent.mapInArrow(_passages(window), _PARTS)
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     found = passages.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_parse_blocks(window, block_words), "doc_id long, th long, first int, last int")
@@ -268,10 +268,10 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
 
 def _with_spans(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, ``text`` packed, with ``_spans``, null where nothing repeats."""
-    spans = written(duplicate_spans(docs, **options), "spans").withColumnsRenamed({"doc_id": "_id", "th": "_th", "spans": "_spans"})
-    packed = packed_text(docs.withColumn("_row", row_key()))
-    return packed.join(spans, packed["doc_id"].eqNullSafe(spans["_id"]) & (F.col("_row") == spans["_th"]), "left").drop("_id", "_th", "_row")
+    """The rows of ``docs``, ``text`` packed, with ``_jl_spans``, null where nothing repeats."""
+    spans = written(duplicate_spans(docs, **options), "spans").withColumnsRenamed({"doc_id": "_jl_id", "th": "_jl_th", "spans": "_jl_spans"})
+    packed = packed_text(docs.withColumn("_jl_row", row_key()))
+    return packed.join(spans, packed["doc_id"].eqNullSafe(spans["_jl_id"]) & (F.col("_jl_row") == spans["_jl_th"]), "left").drop("_jl_id", "_jl_th", "_jl_row")
 
 
 def _kept(text: bytes | None, spans: list | None) -> tuple[int, int, bytes]:
@@ -302,7 +302,7 @@ def removal(docs: DataFrame, **options) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    found = _with_spans(docs.select("doc_id", "text"), **options).select("doc_id", "text", "_spans")
+    found = _with_spans(docs.select("doc_id", "text"), **options).select("doc_id", "text", "_jl_spans")
     return found.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -315,9 +315,9 @@ def cut(docs: DataFrame, **options) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            spans = batch.column(batch.schema.get_field_index("_spans")).to_pylist()
+            spans = batch.column(batch.schema.get_field_index("_jl_spans")).to_pylist()
             texts = [_kept(t, s)[2].decode() if s else None if t is None else t.decode() for t, s in zip(unpacked_texts(batch.column(at)), spans)]
-            names = [x for x in batch.schema.names if x != "_spans"]
+            names = [x for x in batch.schema.names if x != "_jl_spans"]
             yield pa.record_batch([pa.array(texts, pa.string()) if x == "text" else batch.column(batch.schema.get_field_index(x)) for x in names], names)
 
     return _with_spans(docs, **options).mapInArrow(run, docs.schema)

@@ -95,7 +95,7 @@ def _select(p: list[np.ndarray], u: list[np.ndarray], n: int) -> np.ndarray:
     z = np.abs((np_ + 0.5) / (len(p) + 1) - (nu + 0.5) / (len(u) + 1)) / np.sqrt(share * (1 - share) * (1 / (len(p) + 1) + 1 / (len(u) + 1)) + 1e-12)
     z[np_ + nu < 3] = 0
     best = np.lexsort((all_words, -z))[:n]
-    chance = np.sqrt(2 * np.log(max(2, (np_ + nu >= 3).sum())))  # about the largest of as many scores of no meaning
+    chance = 1 + np.sqrt(2 * np.log(max(2, (np_ + nu >= 3).sum())))  # beyond the largest of as many scores of no meaning
     return np.sort(all_words[best[z[best] > chance]])
 
 
@@ -119,8 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     if not prior:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros(0))
     prior = min(max(prior, 1e-4), 0.9)
-    first = lambda ids, k: F.broadcast(ids.select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(k))
-    joined = lambda ids: docs.join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    first = lambda ids, k: F.broadcast(ids.select(F.col("doc_id").alias("_jl_id")).orderBy(F.xxhash64("_jl_id"), "_jl_id").limit(k))
+    joined = lambda ids: docs.join(ids, F.col("doc_id") == F.col("_jl_id"), "left_semi")
     p = _words_of(joined(first(marks.filter("toxic = 1"), positives)))
     u = _words_of(joined(first(docs.select("doc_id").filter("doc_id is not null"), unlabelled)))
     if not p or not u:
