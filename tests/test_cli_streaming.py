@@ -17,7 +17,7 @@ def test_prepare_sample(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
-    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("ts"), F.col("user_id").alias("source_row_index"), F.col("event_type").alias("verdict"))
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("source_row_index"), F.col("event_type").alias("verdict"))
     events.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
     query = verdict_counts(stream).writeStream.outputMode("complete").format("memory").queryName("votes").start()
