@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, read_table
+from .common import fresh_path, read_table, written
 
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -44,7 +44,12 @@ def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     responses.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    heads = pages.select("page_id", "url", base32_sha1(payload).alias("digest"), F.length(payload).alias("bytes")).filter(F.col("bytes") >= min_bytes)
+    heads = pages.select("page_id", "url", base32_sha1(payload).alias("digest"), F.length(payload).alias("bytes"))
+    return _resolved(heads, min_bytes)
+
+
+def _resolved(heads: DataFrame, min_bytes: int) -> DataFrame:
+    heads = heads.filter(F.col("bytes") >= min_bytes).select("page_id", "url", "digest")
     first = heads.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("f"))
     first = first.select("digest", F.col("f.page_id").alias("first_id"), F.col("f.url").alias("first_url"))
     later = heads.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
@@ -73,10 +78,16 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
     and html have the same record id. Other columns are ignored. No rows make an archive of a warcinfo record alone.
     """
     archive = Archive(path, f"<urn:uuid:{uuid.uuid4()}>")
-    later = resolve(pages, min_bytes).select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), F.col("url").alias("_u"), "first_id", "first_url")
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("body"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("body").cast("binary")))
-    rows = rows.join(later, rows.page_id.eqNullSafe(later["_p"]) & (rows.digest == later["_d"]) & rows.url.eqNullSafe(later["_u"]), "left")
+    body = F.coalesce(F.col("html"), F.lit(""))
+    payload = body.cast("binary")
+    # Digests are taken once; the payloads meet them again by a cheap hash beside the id and the url.
+    heads = written(pages.select("page_id", "url", F.xxhash64(body).alias("h"), base32_sha1(payload).alias("digest"), F.length(payload).alias("bytes")), "warc-heads")
+    later = _resolved(heads, min_bytes).withColumnsRenamed({"page_id": "_p", "url": "_u", "digest": "_d"})
+    known = heads.select("page_id", "url", "h", "digest").distinct()
+    same = known.page_id.eqNullSafe(later["_p"]) & (known.digest == later["_d"]) & known.url.eqNullSafe(later["_u"])
+    known = known.join(later, same, "left").withColumnsRenamed({"page_id": "_p1", "url": "_u1", "h": "_h1"}).drop("_p", "_u")
+    rows = pages.select("page_id", "url", body.alias("body"), F.xxhash64(body).alias("h"))
+    rows = rows.join(known, rows.page_id.eqNullSafe(known["_p1"]) & rows.url.eqNullSafe(known["_u1"]) & (rows.h == known["_h1"]))
     again = F.col("_d").isNotNull()
 
     def target(url: str, page_id: str) -> Column:
@@ -103,14 +114,14 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
     lines = rows.select(F.concat(F.lit(archive.cut), head, block).alias("value"))
     lines = lines.union(pages.sparkSession.createDataFrame([(archive.cut + info,)], "value string"))
     # Spark ends every row with this separator: a record ends with two line ends.
-    lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
     return archive
 
 
 def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     """(page_id, url, record_type, record_id, refers_id, digest, payload) of every response and revisit record.
 
-    Files can be split anywhere; one record is in memory at a time. A record whose block isn't as long as its header says
+    One record is in memory at a time. A record whose block isn't as long as its header says
     is an error. The payload of a revisit is null.
     """
     rows = spark.read.option("lineSep", archive.cut).text(archive.path).filter("value <> ''")
@@ -138,7 +149,8 @@ def digests(records: DataFrame) -> DataFrame:
     id; one whose response is missing keeps the digest of its header and has null bytes and refers_to.
     """
     body = F.col("payload").cast("binary")
-    heads = records.select("page_id", "record_type", "record_id", "refers_id", "digest", F.length(body).cast("long").alias("bytes"), base32_sha1(body).alias("own"))
+    heads = records.select("page_id", "record_type", "record_id", "refers_id", "digest", F.length(body).cast("long").alias("bytes"), F.when(F.col("record_type") == "response", base32_sha1(body)).alias("own"))
+    heads = written(heads, "warc-records")  # the archives are read once
     responses = heads.filter("record_type = 'response'")
     origins = responses.groupBy(F.col("record_id").alias("origin")).agg(F.min("page_id").alias("refers_to"), F.min("bytes").alias("of_bytes"), F.min("own").alias("of_digest"))
     revisits = heads.filter("record_type = 'revisit'").join(origins, F.col("refers_id") == F.col("origin"), "left")
