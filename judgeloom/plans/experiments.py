@@ -87,7 +87,7 @@ def run_records(examples: DataFrame, judged: DataFrame, spec: dict, bias_name: s
     rows = examples.join(judged, KEYS)
     text = lambda c: F.lit(c).cast("string")
     logit = F.struct("entropy", "msp", "margin", "normalized_entropy")
-    again = F.struct(F.col("run_count").cast("int"), "agreement_rate", "vote_entropy", F.col("unique_verdict_count").cast("int"), "flip_rate")
+    again = F.struct(F.col("run_count").cast("int").alias("run_count"), "agreement_rate", "vote_entropy", F.col("unique_verdict_count").cast("int").alias("unique_verdict_count"), "flip_rate")
     response = F.when(F.col("verdict") == "A", F.col("response_id_a")).when(F.col("verdict") == "B", F.col("response_id_b"))
     record = stable_hash_column({"example_id": F.col("example_id"), "model_name": F.lit(spec["model_name"]), "variant_id": F.col("variant_id"), "seed": F.lit(0), "prompt_hash": F.col("prompt_hash")})
     spec_struct = F.struct(
