@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import takewhile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,6 @@ from .common import read_table, slices, written
 #: Good documents rejected in a stratum: at most this share, but with a probability of DELTA at most.
 ALPHA = 0.05
 DELTA = 0.05
-#: Strata calibrated on their own; rows of others are judged by the base rules alone.
-STRATA = 64
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _SPACES = str.maketrans({c: None for c in "\x20\x09\x0a\x0b\x0c\x0d"})
@@ -80,49 +79,65 @@ def _rejects(above: str, below: str, side: str, cutoff):
     return F.coalesce(ratio > cutoff if side == "over" else ratio < cutoff, F.lit(False))
 
 
-def binomial_upper(k: int, n: int, delta: float) -> float:
-    """The exact upper confidence bound of a share of which k of n were seen: the p with P(X <= k) = delta."""
+def binomial_below(k: int, n: int, p: float) -> float:
+    """P(X <= k) of n trials that succeed with p, exactly but for rounding."""
     if k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
+    i = np.arange(k + 1)
+    logs = np.append(0.0, np.cumsum(np.log((n - i[1:] + 1) / i[1:]))) + i * np.log(p) + (n - i) * np.log1p(-p)
+    return float(np.exp(logs.max()) * np.exp(logs - logs.max()).sum())
 
-    def below(p: float) -> float:
-        terms = [c + i * math.log(p) + (n - i) * math.log1p(-p) for i, c in enumerate(logs)]
-        top = max(terms)
-        return math.exp(top) * math.fsum(math.exp(t - top) for t in terms)
 
+def binomial_upper(k: int, n: int, delta: float) -> float:
+    """The exact upper confidence bound of a share of which k of n were seen: the p with P(X <= k) = delta."""
+    if k >= n:
+        return 1.0
     low, high = k / n, 1.0
     for _ in range(60):
         p = (low + high) / 2
-        if 0 < p < 1 and below(p) > delta:
+        if 0 < p < 1 and binomial_below(k, n, p) > delta:
             low = p
         else:
             high = p
     return high
 
 
-def calibrate(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
-    """The strictest safe cutoff of each (stratum, rule), from the holdout of rows labelled good that the base rules pass.
+def certified(k: int, n: int, share: float, delta: float) -> bool:
+    """Whether the upper bound of k of n is ``share`` at most; P(X <= k) falls as p grows, so one value of it tells."""
+    return k <= n * share and binomial_below(k, n, share) <= delta
+
+
+def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The strictest safe cutoff of each rule (_<rule>) for every _stratum, from the rows labelled good that the base rules pass.
 
     Every rule may falsely reject alpha / rules of a stratum's good documents, so all together alpha. Cutoffs are tested
     from the mildest on, each by its exact binomial bound, and the first that fails ends the rule's tests: a fixed
     sequence needs no correction. Over rules and strata delta is divided (Bonferroni), so all guarantees hold at once with
-    a probability of 1 - delta. A rule without a safe cutoff rejects nothing in that stratum. All labelled rows count; the
-    driver gets one row for each stratum, of which the ``STRATA`` with most good documents are calibrated.
+    a probability of 1 - delta. A rule without a safe cutoff (null) rejects nothing in that stratum. All labelled rows and
+    all strata with any count; a stratum is one row, tested where it lies, and only the number of strata reaches the driver.
     """
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
     held = stats.join(good, "doc_id", "left_semi").filter(~_base_failed())
-    counts = [F.sum(_rejects(a, b, side, F.lit(c)).cast("long")).alias(f"{name}_{k}") for name, a, b, side, cutoffs in RULES for k, c in enumerate(cutoffs)]
-    rows = held.groupBy("stratum").agg(F.count("*").alias("n"), *counts).orderBy(F.desc("n"), "stratum").limit(STRATA).collect()
-    each, sure = alpha / len(RULES), delta / max(1, len(RULES) * len(rows))
-    found: dict[tuple[str, str], float] = {}
-    for row in rows:
-        for name, _, _, _, cutoffs in RULES:
-            for k, cutoff in enumerate(cutoffs):
-                if binomial_upper(row[f"{name}_{k}"], row.n, sure) > each:
-                    break
-                found[row.stratum, name] = cutoff
-    return found
+    counts = [F.sum(_rejects(a, b, side, F.lit(c)).cast("long")).alias(f"{name}_{k}") for name, a, b, side, tried in RULES for k, c in enumerate(tried)]
+    holdout = written(held.groupBy("stratum").agg(F.count("*").alias("n"), *counts), "holdout")
+    each, sure = alpha / len(RULES), delta / max(1, len(RULES) * holdout.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            found = {"_stratum": pa.array([r["stratum"] for r in rows], pa.string())}
+            for name, _, _, _, tried in RULES:
+                safe = [list(takewhile(lambda k: certified(r[f"{name}_{k}"], r["n"], each, sure), range(len(tried)))) for r in rows]  # noqa: B023
+                found[f"_{name}"] = pa.array([tried[s[-1]] if s else None for s in safe], pa.float64())
+            yield pa.record_batch(found)
+
+    return holdout.mapInArrow(run, "_stratum string, " + ", ".join(f"_{name} double" for name, *_ in RULES))
+
+
+def calibrate(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
+    """The same as a report on the driver, for a number of strata that fits there: the cutoff of each (stratum, rule)."""
+    rows = cutoffs(stats, labels, alpha, delta).collect()
+    return {(r["_stratum"], name): r[f"_{name}"] for r in rows for name, *_ in RULES if r[f"_{name}"] is not None}
 
 
 def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -132,16 +147,12 @@ def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: floa
     texts have no words and fail. Repeated rows are judged alike. Labels that are null, repeated or of unknown rows do no
     harm; without labels the base rules stand alone.
     """
-    spark = docs.sparkSession
     stats = written(figures(docs.select("doc_id", "lang", "text")), "figures")
-    cutoffs = calibrate(stats, labels, alpha, delta)
-    strata = sorted({s for s, _ in cutoffs})
-    columns = [f"_{name}" for name, *_ in RULES]
-    table = spark.createDataFrame([(s, *(cutoffs.get((s, name)) for name, *_ in RULES)) for s in strata], "_stratum string, " + ", ".join(f"{c} double" for c in columns))
+    table = cutoffs(stats, labels, alpha, delta)
     rejected = F.lit(False)
     for name, a, b, side, _ in RULES:
         rejected = rejected | F.coalesce(_rejects(a, b, side, F.col(f"_{name}")), F.lit(False))
-    out = stats.join(F.broadcast(table), F.col("stratum") == F.col("_stratum"), "left")  # STRATA rows
+    out = stats.join(table, F.col("stratum") == F.col("_stratum"), "left")  # broadcast or split by the table's size
     return out.select("doc_id", *_STATS, _base_failed().alias("base_failed"), (~(_base_failed() | rejected)).alias("kept"), "stratum")
 
 
