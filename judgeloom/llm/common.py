@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +53,40 @@ def row_key(text: str = "text") -> Column:
     return F.xxhash64(F.col(text))
 
 
+def sampled(docs: DataFrame, each: int, group: Column | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(grp, text): of each group ``each`` distinct rows (doc_id, text) at most, those of least hash; null ids are left out.
+
+    ``only`` (mark) has the ids to choose from. The hashes that are ranked are a share of a group's that holds about four
+    samples; where copies leave too few different rows in it, the share grows. Copies are combined before any shuffle and
+    come once, so neither the ranking nor the driver, which receives the keys of the sample, sees a hot row twice.
+    """
+    grp = F.lit("") if group is None else group
+    keyed = docs.filter("doc_id is not null").select(grp.alias("grp"), "doc_id", "text", row_key().alias("th"))
+    keyed = keyed.withColumn("h", F.pmod(F.xxhash64("doc_id", "th"), F.lit(1 << 30)))
+    keys = keyed.select("grp", "h", "doc_id", "th")
+    if only is not None:
+        keys = keys.join(only, keys["doc_id"] == only["mark"], "left_semi")
+    sizes = {r.grp: r.n for r in keys.groupBy("grp").agg(F.count("*").alias("n")).collect()}
+    shares = {g: min(1.0, 4 * each / n) for g, n in sizes.items()}
+    order = Window.partitionBy("grp").orderBy("h", "doc_id", "th")
+    found: list[tuple] = []
+    while shares:
+        limit = F.lit(0.0)
+        for g, share in shares.items():
+            limit = F.when(F.col("grp") == g, F.lit(share * (1 << 30))).otherwise(limit)
+        ranked = keys.filter(F.col("h") < limit).distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= each)
+        got = [(r.grp, r.doc_id, r.th) for r in ranked.select("grp", "doc_id", "th").collect()]
+        counts = Counter(g for g, *_ in got)
+        done = {g for g, share in shares.items() if share >= 1 or counts[g] >= each}
+        found += [r for r in got if r[0] in done]
+        shares = {g: min(1.0, 8 * share) for g, share in shares.items() if g not in done}
+    fields = [T.StructField(f"_{c}", keyed.schema[c].dataType) for c in ("grp", "doc_id", "th")]
+    ids = docs.sparkSession.createDataFrame(found, T.StructType(fields))
+    same = [F.col(c) == F.col(f"_{c}") for c in ("grp", "doc_id", "th")]
+    rows = keyed.join(F.broadcast(ids), same, "left_semi")  # each keys a group
+    return rows.dropDuplicates(["grp", "doc_id", "th"]).select("grp", "text")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of text; a longer text comes alone."""
     for batch in batches:

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, read_table, slices, text_offsets, worker_threads
+from .common import fold, read_table, sampled, slices, text_offsets, worker_threads
 
 #: Buckets that byte trigrams are hashed to.
 BUCKETS = 4096
@@ -104,29 +104,22 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE, clusters: int = CE
     """Centroids of every language of the rows that ``learn`` marks and that have a text and a lang.
 
     Document frequencies count all those rows. Centroids are fitted on ``sample`` rows of each language, those whose
-    hashed ids are least (``SAMPLE_ALL`` in all). Rows without a letter are not learned from.
+    hashed keys are least (``SAMPLE_ALL`` in all, 20 at least). Rows without a letter or an id are not learned from, and
+    copies of a row count once among the sample.
     """
-    known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes)
+    known = docs.filter(learn & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
     counts = _document_counts(known)
     idf = (np.log((1 + counts[-1]) / (1 + counts[:-1])) + 0.1).astype(np.float32)
     each = max(20, min(sample, SAMPLE_ALL // max(1, len(languages))))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # A share of each language's hashes that holds about four samples goes to the ranking, not every row.
-    share = F.lit(1.0)
-    for name in languages:
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, 4 * each / sizes[name]))).otherwise(share)
-    some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    ids = some.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= each).select(F.col("doc_id").alias("_jl_id"))
-    rows = known.join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("_jl_id"), "left_semi").select("lang", "text")  # each * languages ids
+    rows = sampled(known, each, F.col("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
             packed = [x.tobytes() for x in np.minimum(trigram_counts(batch.column(1)), 65535).astype("<u2")]
             yield pa.record_batch([batch.column(0), pa.array(packed, pa.binary())], ["lang", "counts"])
 
-    got = rows.mapInArrow(run, "lang string, counts binary").collect()
+    got = rows.mapInArrow(run, "lang string, counts binary").collect() if languages else []
     model = LanguageModel(languages, idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.int64), np.zeros(len(languages)))
     centroids, owner, floor = [], [], np.zeros(len(languages))
     for k, name in enumerate(languages):

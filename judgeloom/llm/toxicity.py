@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, fold, hash_words, read_table, slices, worker_threads
+from .common import ALNUM_WORDS, fold, hash_words, read_table, sampled, slices, worker_threads
 
 #: The bounded samples that the classifiers are fitted on: confirmed toxic rows, and rows taken without their label.
 POSITIVES = 4000
@@ -112,7 +112,7 @@ def _matrix(sets: list[np.ndarray], words: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> ToxicityModel:
     """Classifiers from the rows of ``docs`` that ``labels`` (doc_id, toxic) confirms as toxic, against rows of any label.
 
-    Both samples are the rows whose hashed ids are least. The class prior is the share of 1 among the labels that are
+    Both samples are the distinct rows whose hashed keys are least. The class prior is the share of 1 among the labels that are
     given, all of them counted. Without a label of either kind all scores are 0.
     """
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -120,10 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     if not prior:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros(0))
     prior = min(max(prior, 1e-4), 0.9)
-    first = lambda ids, k: F.broadcast(ids.select(F.col("doc_id").alias("_jl_id")).orderBy(F.xxhash64("_jl_id"), "_jl_id").limit(k))
-    joined = lambda ids: docs.join(ids, F.col("doc_id") == F.col("_jl_id"), "left_semi")
-    p = _words_of(joined(first(marks.filter("toxic = 1"), positives)))
-    u = _words_of(joined(first(docs.select("doc_id").filter("doc_id is not null"), unlabelled)))
+    p = _words_of(sampled(docs, positives, only=marks.filter("toxic = 1").select(F.col("doc_id").alias("mark"))))
+    u = _words_of(sampled(docs, unlabelled))
     if not p or not u:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros((0, 0)), np.zeros(0))
     words = _select(p, u, WORDS)

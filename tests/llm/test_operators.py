@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from judgeloom.llm import decontaminate, language, packing, pseudo_likelihood, quality, registry, simhash, substring, tokens, toxicity, warc
-from judgeloom.llm.common import fresh_path
+from judgeloom.llm.common import fresh_path, sampled
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 997}" for i in range(30_000))
@@ -269,6 +269,31 @@ def test_risk_control(spark):
     cutoffs = quality.calibrate(df, labels)
     assert cutoffs["en", "symbols"] == 0.1 or cutoffs["en", "symbols"] == 0.12
     assert not any(s == "few" for s, _ in cutoffs)  # too few to promise anything
+    for k, n, share, sure in ((0, 500, 0.01, 0.01), (0, 300, 0.01, 0.05), (3, 900, 0.01, 0.05), (2, 900, 0.01, 0.05), (0, 458, 0.01, 0.01), (50, 9000, 0.01, 1e-6)):
+        assert quality.certified(k, n, share, sure) == (quality.binomial_upper(k, n, sure) <= share)
+
+
+def test_every_stratum_is_calibrated(spark):
+    """However many strata there are, each has its own cutoffs, and a row is judged by those of its stratum."""
+    names, good, text = [f"l{k:03d}" for k in range(80)], 1100, " ".join(f"w{i}" for i in range(60))
+    docs = spark.range(len(names) * good).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.element_at(F.array(*map(F.lit, names)), (F.col("id") % len(names) + 1).cast("int")).alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    found = quality.cutoffs(quality.figures(docs), labels).collect()
+    assert sorted(r["_stratum"] for r in found) == names and all(r["_symbols"] == 0.04 for r in found)
+    bad = spark.createDataFrame([(-1, text + " #" * 9, "l000"), (-2, text + " #" * 9, "l079")], "doc_id long, text string, lang string")
+    assert [r.kept for r in quality.judged(docs.union(bad), labels).filter("doc_id < 0").collect()] == [False, False]
+
+
+def test_sample_of_copies(spark):
+    """Copies count once, whatever their number, and leave room for the other rows."""
+    many = spark.range(9000).select(F.when(F.col("id") < 8900, 0).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 8900, "hot").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    got = [r.text for r in sampled(many, 20).collect()]
+    assert len(got) == len(set(got)) == 20
+    got = [r.text for r in sampled(many, 500).collect()]
+    assert len(got) == len(set(got)) == 101
+    hot = spark.range(3000).select(F.lit(4).cast("long").alias("doc_id"), F.lit("les mots").alias("text"), F.lit("fr").alias("lang"))
+    assert [r.lang_pred for r in language.predict(hot.limit(1), language.fit(hot, ~language.held_out())).collect()] == ["fr"]
+    assert sampled(many.limit(0), 5).count() == 0
 
 
 def test_language(spark, docs, none, sf):
