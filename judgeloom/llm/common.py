@@ -128,6 +128,9 @@ def text_offsets(column: pa.Array) -> np.ndarray:
 #: Words end at ASCII white space only; bytes stay as they are.
 SPACE_WORDS = np.arange(256, dtype=np.uint8)
 SPACE_WORDS[[0x20, *range(0x09, 0x0E)]] = 0
+#: The same, A-Z as a-z.
+LOWER_WORDS = SPACE_WORDS.copy()
+LOWER_WORDS[0x41:0x5B] = SPACE_WORDS[0x61:0x7B]
 #: Words of a-z, 0-9 and everything beyond ASCII, in lower case.
 ALNUM_WORDS = np.zeros(256, np.uint8)
 ALNUM_WORDS[0x30:0x3A] = np.arange(0x30, 0x3A)

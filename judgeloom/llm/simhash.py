@@ -10,8 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, slices, written
+from .common import read_table, row_key, slices, written
 from .graph import components
+from .shingles import SIMILARITY, WORDS, near_copies
 
 BITS = 64
 SEED = 42
@@ -112,15 +113,18 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFra
     return marks.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: the one of the smallest doc_id; all columns stay.
+def keep_first(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stand for their group of near copies: the one of the smallest doc_id; all columns stay.
 
-    Rows with a null doc_id stay only where their whole group has none. Rows that repeat the smallest doc_id and its
-    text stay together: they are one document to the rule.
+    Groups are those of ``near_copies``. A row with a null doc_id stays only where its whole group has none, and then one
+    row does. Rows that repeat the smallest doc_id and its text stay together: they are one document to the rule.
     """
-    found = near_duplicates(docs, radius)
-    keep = found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"]), "left_semi")
+    best = near_copies(docs, words, similarity).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x"))
+    best = best.select(F.col("x.doc_id").alias("_kept_id"), F.col("x.th").alias("_kept_th"))
+    rows = docs.withColumn("_jl_th", row_key())
+    kept = rows.join(best, rows["doc_id"].eqNullSafe(best["_kept_id"]) & (rows["_jl_th"] == best["_kept_th"]), "left_semi")
+    nameless = kept.filter("doc_id is null").dropDuplicates(["_jl_th"])
+    return kept.filter("doc_id is not null").union(nameless).drop("_jl_th")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,6 +158,42 @@ def test_covering_links(spark):
     assert all(any(not (m >> i & 1) and not (m >> j & 1) for m in masks) for i in range(64) for j in range(64))
 
 
+def brute_near_copies(pairs, width=5, similarity=0.8):
+    """The number of the first row of each row's group, by all pairs."""
+    sets = []
+    for _, t in pairs:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))} if w else set())
+    root = list(range(len(sets)))
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if a == b or len(a & b) >= similarity * len(a | b) - 1e-9:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def near_copy_rows():
+    rng = np.random.default_rng(5)
+    out = [(k, t) for k, t in enumerate([None, "", " \n", "one two", "One  TWO", "one two three"])]
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        for changes in [0, 1, 3, 4, 6, 6, 7, 8, 9, 14, 40]:
+            words = list(base)
+            for at in rng.integers(0, 300, changes).tolist():
+                words[at] = f"new{rng.integers(0, 10**6)}"
+            out.append((len(out), " ".join(words)))
+    return out
+
+
+def test_near_copies(spark):
+    pairs = near_copy_rows()
+    d = spark.createDataFrame(pairs, "doc_id long, text string")
+    root = brute_near_copies(pairs)
+    assert rows(simhash.keep_first(d), "doc_id") == sorted({(r,) for r in root}, key=str)
+    assert len({r.component_id for r in simhash.near_duplicates(d).collect()}) > len(set(root)) + 40
+
+
 def test_fingerprint_bits():
     import xxhash
 
