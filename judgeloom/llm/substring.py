@@ -15,9 +15,9 @@ from .common import SPACE_WORDS, hash_words, mix, packed_text, read_table, row_k
 WINDOW = 35
 #: Words of an anchor: the passage whose hash is least among those of a window names the reference block it goes to.
 ANCHOR = 8
-#: From this many passages of one anchor on, its windows are dealt out by their own content.
+#: Beyond this many passages of one anchor, or 3 blocks of words, its windows are dealt out by their own content.
 HOT = 2000
-#: Words of a reference block; a block ends with the anchor in hand, so it holds HOT passages more at most.
+#: Words of a reference block; a block ends with the anchor in hand, so it holds 4 times as many at most.
 BLOCK_WORDS = 200_000
 #: Factors of the parse end after this many words; the next begins where they end.
 DEPTH = 6
@@ -255,8 +255,8 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         raise ValueError("an anchor has 1 word at least and not more than a window")
     texts = docs.filter(F.length("text") > 0).select("doc_id", row_key().alias("th"), "text")
     runs = written(texts.mapInArrow(_find_runs(window, anchor), _RUNS), "runs")
-    often = runs.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("passages")).filter("total > 1")
-    often = often.select("anchor", (F.col("passages") > hot).alias("hot"))
+    often = runs.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("passages"), F.sum(F.col("windows").cast("long") + (window - 1)).alias("size")).filter("total > 1")
+    often = often.select("anchor", ((F.col("passages") > hot) | (F.col("size") > 3 * block_words)).alias("hot"))
     wanted = runs.join(often, "anchor").groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "windows", "anchor", "hot")).alias("runs"))
     w = wanted.withColumnsRenamed({"doc_id": "_jl_id", "th": "_jl_th"})
     packed = packed_text(texts)

@@ -122,6 +122,13 @@ def test_overlapping_repeats(spark):
     assert rows(substring.removal(d, window=9, anchor=3)) == brute_substrings(list(enumerate(texts)), 9)
 
 
+def test_long_anchor(spark):
+    rng = np.random.default_rng(7)
+    pairs = [(k, " ".join(rng.choice(list("abcd"), 60))) for k in range(40)]
+    d = spark.createDataFrame(pairs, "doc_id long, text string")
+    assert rows(substring.removal(d, window=6, anchor=1, block_words=50)) == brute_substrings(pairs, 6)
+
+
 def test_simhash(spark, docs, sf):
     got = simhash.near_duplicates(docs).collect()
     zero = {r.doc_id for r in got if r.fingerprint == "0" * 16}
