@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import hashlib
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, row_key
+from .common import read_table, row_key, slices, written
 
 CAPACITY = 2048
 #: Pieces that are packed together, about; a group of them is one task's state.
@@ -23,8 +25,8 @@ class Bins:
     of one level are tried in the order they came there.
     """
 
-    def __init__(self, capacity: int, sources: int | None = 1):
-        self.capacity, self.per_source = capacity, sources
+    def __init__(self, capacity: int):
+        self.capacity = capacity
         self.levels: dict[int, dict[int, None]] = {}
         self.filled = 0
         self.left: list[int] = []
@@ -110,6 +112,62 @@ def packed(docs: DataFrame, length: Column, cluster: Column, capacity: int = CAP
     return small.unionByName(whole).unionByName(none)
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, n, cluster, row) of every row of ``docs`` (doc_id, source, text), written once for all later readers.
+
+    n counts the words between ASCII white space and one mark that ends the document; it is 0 for a text without words.
+    cluster is a digest of the text in lower case with single spaces: rows that differ in case and spacing alone share
+    it, and a text without words has none. row tells repeated rows apart. Texts are read by this step alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = [(t or "").lower().encode().split() for t in batch.column(2).to_pylist()]
+            n = pa.array([len(w) + 1 if w else 0 for w in words], pa.int64())
+            cluster = pa.array([hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in words], pa.binary())
+            yield pa.record_batch([batch.column(0), batch.column(1), n, cluster, batch.column(3)], ["doc_id", "source", "n", "cluster", "row"])
+
+    rows = docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("row"))
+    return written(rows.mapInArrow(run, f"doc_id {_type(docs, 'doc_id')}, source {_type(docs, 'source')}, n long, cluster binary, row long"), "measured")
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def pack_texts(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+    """(doc_id, piece, start, length, bin_id, bin_offset, source) of every piece of every row of ``docs`` (doc_id, source, text).
+
+    Lengths and duplicate clusters are those of ``measured``. A row longer than ``capacity`` is cut into full bins of its
+    own and a rest. Rests and shorter rows are dealt into groups of about ``group`` by a hash of the row, whatever its
+    source, cluster, id or text, so neither a hot source nor copies of one row make a large group. Within a group the
+    pieces go, longest first and by cluster and id among equals, each into the fullest bin that it fits and that holds
+    neither its source nor its cluster. A row without words, or a null text, is one piece of length 0 in no bin (null). A
+    null source has no conflicts, and a null doc_id is packed like any other. Repeated rows are packed each, and conflict.
+    No rows give no rows. Other columns of ``docs`` are not looked at.
+    """
+    rows = measured(docs)
+    n = max(1, -(-rows.count() // group))
+    whole = rows.filter(F.col("n") >= capacity).select("doc_id", "source", "row", F.explode(F.expr(f"sequence(0L, n div {capacity} - 1)")).alias("k"))
+    whole = whole.select(
+        "doc_id", F.col("k").cast("int").alias("piece"), (F.col("k") * capacity).alias("start"), F.lit(capacity).alias("length"), F.concat_ws("-", F.lit("full"), "row", "k").alias("bin_id"), F.lit(0).alias("bin_offset"), "source",
+    )
+    none = rows.filter("n = 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).alias("length"), F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("int").alias("bin_offset"), "source")
+    rest = rows.filter(F.col("n") % capacity > 0).select("doc_id", F.expr(f"cast(n div {capacity} as int)").alias("piece"), (F.col("n") - F.col("n") % capacity).alias("start"), (F.col("n") % capacity).cast("int").alias("length"), "source", "cluster", "row")
+    dealt = rest.withColumn("g", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(n)).cast("int"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("length", "descending"), ("cluster", "ascending"), ("doc_id", "ascending"), ("row", "ascending")])
+        places = pack_group(zip(*(table.column(c).to_pylist() for c in ("length", "source", "cluster"))), capacity)
+        bins = [f"{g}-{b}" for g, (b, _) in zip(table.column("g").to_pylist(), places)]
+        table = table.select(["doc_id", "piece", "start", "length", "source"])
+        table = table.add_column(4, "bin_id", pa.array(bins, pa.string()))
+        return table.add_column(5, "bin_offset", pa.array([at for _, at in places], pa.int32()))
+
+    small = dealt.groupBy("g").applyInArrow(run, f"doc_id {_type(rows, 'doc_id')}, piece int, start long, length int, bin_id string, bin_offset int, source {_type(rows, 'source')}")
+    return small.unionByName(whole).unionByName(none)
+
+
 def word_length(text: str = "text") -> Column:
     """Words between ASCII white space, and one for the mark that ends a document; nothing for a text without words."""
     n = F.size(F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
@@ -123,4 +181,5 @@ def text_cluster(text: str = "text") -> Column:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(read_table(spark, sf_dir, "documents"), word_length(), text_cluster())
+    """The pieces of all of ``documents`` in bins of ``CAPACITY`` words; nulls and repeated rows as in ``pack_texts``."""
+    return pack_texts(read_table(spark, sf_dir, "documents"))
