@@ -268,7 +268,7 @@ def test_packing(spark, docs, none):
     for capacity in (10, 64):
         pieces = [(int(n), None if s == 3 else int(s), None if c == 9 else int(c)) for n, s, c in zip(np.sort(rng.integers(1, capacity + 1, 300))[::-1], rng.integers(0, 4, 300), rng.integers(0, 10, 300))]
         assert packing.pack_group(pieces, capacity) == brute_pack(pieces, capacity)
-    got = packing.packed(docs, packing.word_length(), packing.text_cluster(), capacity=64).collect()
+    got = packing.pack_texts(docs, capacity=64).collect()
     length = Counter()
     for r in got:
         length[r.doc_id] += r.length
@@ -279,7 +279,7 @@ def test_packing(spark, docs, none):
             bins[r.bin_id].append(r)
     assert all(sum(r.length for r in b) <= 64 and len({r.source for r in b if r.source}) == len([r for r in b if r.source]) for b in bins.values())
     assert len({r.bin_id for r in got if r.doc_id in (7, 8)}) == 3  # the three copies lie apart
-    assert packing.packed(none, packing.word_length(), packing.text_cluster()).count() == 0
+    assert packing.pack_texts(none).count() == 0
 
 
 def test_quality(spark, docs, none):
