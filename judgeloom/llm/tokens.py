@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -10,29 +11,55 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, read_table, slices, worker_threads, written
+from .common import fresh_path, packed_text, read_table, row_key, slices, text_offsets, unpacked_texts, worker_threads, written
 
 END_ID = 2
 SEQUENCE = 2048
-#: Sequences of a record batch: what a reader maps or copies at once.
+#: Sequences of a record batch. Every batch but a file's last has as many, so all of them are equally long in bytes.
 BATCH = 64
-#: Units of text whose ids a worker keeps; beyond that the older half goes.
+#: Units of text whose ids a worker keeps; beyond that the older half goes. Longer units are not kept.
 CACHE = 450_000
-#: Bytes of text of a shard, that is of a file.
+CACHED_BYTES = 64
+#: Bytes of text of a shard, that is of a file, on average.
 SHARD_TEXT = 24 << 20
-TAIL = ".,;:!?"
+
+_byte = np.arange(256)
+#: Bytes that only a character other than white space can begin with or be.
+_DARK = ((_byte > 0x20) & (_byte < 0x7F)) | ((_byte >= 0xC3) & (_byte <= 0xF4) & ~np.isin(_byte, [0xE1, 0xE2, 0xE3]))
+_PRINTED = (_byte > 0x20) & (_byte < 0x7F)
+_LETTER = np.isin(_byte, [*range(0x41, 0x5B), *range(0x61, 0x7B)])
+_MARK = _PRINTED & ~_LETTER
+
+
+def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts may be cut so that the ids of the units, one after the other, are those of the whole texts.
+
+    Under the split pattern of byte-level BPE files a token holds a space at its start only, and letters are apart
+    from digits and marks. So a token always begins at a space before a visible character, at a digit or mark behind a
+    letter, and on both sides of a single line end between visible characters.
+    """
+    n = len(data)
+    cut = np.zeros(n + 1, bool)
+    dark = np.zeros(n + 1, bool)  # the next byte is visible
+    dark[: n - 1] = _DARK[data[1:]]
+    cut[:n] = (data == 0x20) & dark[:n]
+    cut[offsets[1:][offsets[1:] > 0] - 1] = False  # what follows belongs to another text
+    line = np.flatnonzero((data[1:] == 0x0A) & _PRINTED[data[:-1]] & dark[1:n]) + 1
+    cut[line] = cut[line + 1] = True
+    cut[1:n] |= _MARK[data[1:]] & _LETTER[data[:-1]]
+    cut[offsets] = True
+    cut[n] = False
+    return np.flatnonzero(cut)
 
 
 class CachedTokenizer:
     """A byte-level BPE file of the tokenizers library, with the ids of units that were seen before.
 
-    A text may be cut before a space that a character other than white space follows: under this kind of file's split
-    pattern a token has a space at its start only, so the ids of the pieces are those of the whole. Units are encoded by
-    the library. Letters with no or one space before them are one piece to the pattern and go straight to its BPE model,
-    all else goes through its whole encoder. Strings of special tokens in a text are ordinary text.
+    A batch is cut into units without a loop over them; each distinct unit is looked up once, and the library encodes
+    those that are new. Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -41,60 +68,53 @@ class CachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
         self.cache = cache
-        self.units: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.units: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        rest = [b for b in range(256) if b not in plain]
-        self.letters = str.maketrans({chr(b): chr(256 + k) for k, b in enumerate(rest)})
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        return self._pack(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
-
-    def _word(self, text: str) -> bytes:
-        found = self.words.get(text)
-        if found is None:
-            if len(self.words) >= self.cache:
-                self.words.clear()
-            mapped = text.encode().decode("latin-1").translate(self.letters)
-            found = self.words[text] = self._pack([t.id for t in self.model.tokenize(mapped)])
+
+    def _ids_of(self, units: list[bytes]) -> list[bytes]:
+        found = list(map(self.units.get, units))
+        new: dict[bytes, bytes] = {}
+        missing = []
+        for k in [k for k, x in enumerate(found) if x is None]:
+            seen = self.old.get(units[k])
+            if seen is None:
+                missing.append(k)
+            else:
+                found[k] = new[units[k]] = seen
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        for a in range(0, len(missing), 4096):
+            part = missing[a : a + 4096]
+            coded = self.tokenizer.encode_batch_fast([units[k].decode() for k in part], add_special_tokens=False)
+            for k, ids in zip(part, [array(kind, e.ids).tobytes() for e in coded]):
+                found[k] = ids
+                if len(units[k]) <= CACHED_BYTES:
+                    new[units[k]] = ids
+        if len(self.units) + len(new) > self.cache:
+            self.old, self.units = self.units, {}
+        self.units.update(new)
         return found
 
-    def _unit(self, text: str) -> bytes:
-        out = b""
-        for k, line in enumerate(text.split("\n")):
-            core = line.rstrip(TAIL)
-            tail = line[len(core) :]
-            if not (core[1:] if core[:1] == " " and not k else core).isalpha() or len(tail) > 1:
-                return self._whole(text)
-            out += (self._word("\n") if k else b"") + self._word(core) + (self._word(tail) if tail else b"")
-        return out
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian bytes, two for each where the vocabulary allows it."""
-        pieces = text.split(" ")
-        if "" in pieces or "\n " in text or " \n" in text or not text.isprintable() and not text.replace("\n", "").isprintable():
-            return self._whole(text)
-        units, old = self.units, self.old
-        out = []
-        for k, unit in enumerate(pieces):
-            unit = f" {unit}" if k else unit
-            found = units.get(unit)
-            if found is None:
-                found = old.get(unit)
-                if found is None:
-                    found = self._unit(unit)
-                units[unit] = found
-            out.append(found)
-        if len(units) >= self.cache:
-            self.old, self.units = units, {}
-        return b"".join(out)
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column of texts, one text after the other, and the bounds of each; a null text has none."""
+        offsets = text_offsets(column)
+        base, size = int(offsets[0]), int(offsets[-1] - offsets[0])
+        if not size:
+            return np.zeros(0, self.dtype), np.zeros(len(column) + 1, np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8)[base : base + size]
+        starts = unit_starts(data, offsets - base)
+        bounds = pa.py_buffer(np.append(starts, size).astype(np.int64))
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(data)]).dictionary_encode()
+        packed = self._ids_of(units.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(packed), self.dtype)
+        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // self.dtype.itemsize
+        first = np.cumsum(lengths) - lengths
+        unit = units.indices.to_numpy()
+        n = lengths[unit]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(first[unit] - (ends - n), n) + np.arange(ends[-1])]
+        return ids, np.append(0, ends)[np.searchsorted(starts, offsets - base)]
 
 
 @lru_cache(maxsize=1)
@@ -107,74 +127,80 @@ def _open(path: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 def file_schema(sequence: int, dtype: np.dtype) -> pa.Schema:
-    """input_ids, mask (false: padding) and ends (true: the last id of a document), and the doc_ids that end in the sequence."""
+    """input_ids and mask (1: an id, 0: padding), both fixed-size lists of whole bytes, so neither is copied to be read."""
     ids = pa.uint16() if dtype.itemsize == 2 else pa.uint32()
-    return pa.schema([("input_ids", pa.list_(ids, sequence)), ("mask", pa.list_(pa.bool_(), sequence)), ("ends", pa.list_(pa.bool_(), sequence)), ("doc_ids", pa.list_(pa.int64()))])
+    return pa.schema([("input_ids", pa.list_(ids, sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
 
 
 class ShardWriter:
-    """Documents one after the other into one stream file; the last sequence is padded."""
+    """Documents one after the other into one stream file; the last sequence is padded.
+
+    Only whole batches of ``BATCH`` sequences are written before the file is closed.
+    """
 
     def __init__(self, sink, sequence: int, dtype: np.dtype):
         self.schema, self.sequence, self.dtype = file_schema(sequence, dtype), sequence, dtype
         self.writer = pa.ipc.new_stream(sink, self.schema)
         self.ids: list[np.ndarray] = []
         self.held = 0
-        self.marks: list[tuple[int, int | None]] = []  # where documents end in what is held, and their ids
         self.n_tokens = 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, ids: np.ndarray) -> None:
         self.ids.append(ids)
         self.held += len(ids)
         self.n_tokens += len(ids)
-        self.marks.append((self.held - 1, doc_id))
-        if self.held >= BATCH * self.sequence:
-            self._put(self.held // self.sequence, self.held // self.sequence * self.sequence)
-
-    def _put(self, rows: int, real: int) -> None:
-        flat = np.concatenate(self.ids) if self.ids else np.zeros(0, self.dtype)
-        size = rows * self.sequence
-        ids, mask, ends = np.zeros(size, self.dtype), np.zeros(size, bool), np.zeros(size, bool)
-        ids[:real], mask[:real] = flat[:real], True
-        done = [m for m in self.marks if m[0] < real]
-        ends[[m[0] for m in done]] = True
-        ended = np.bincount([m[0] // self.sequence for m in done], minlength=rows) if done else np.zeros(rows, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ended)]), pa.int32()), pa.array([m[1] for m in done], pa.int64()))
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (ids, mask, ends)]
-        for first in range(0, rows, BATCH):
-            part = [c.slice(first, BATCH) for c in (*columns, lists)]
-            self.writer.write_batch(pa.record_batch(part, schema=self.schema))
-        self.ids = [flat[real:]]
-        self.marks = [(at - real, i) for at, i in self.marks[len(done) :]]
-        self.held -= real
+        size = BATCH * self.sequence
+        if self.held >= size:
+            flat = np.concatenate(self.ids)
+            whole = len(flat) // size * size
+            for first in range(0, whole, size):
+                self._put(flat[first : first + size])
+            self.ids, self.held = [flat[whole:].copy()], len(flat) - whole
+
+    def _put(self, ids: np.ndarray) -> None:
+        size = -(-len(ids) // self.sequence) * self.sequence
+        mask = np.zeros(size, np.uint8)
+        mask[: len(ids)] = 1
+        padded = np.zeros(size, self.dtype)
+        padded[: len(ids)] = ids
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (padded, mask)]
+        self.writer.write_batch(pa.record_batch(columns, schema=self.schema))
 
     def close(self) -> None:
         if self.held:
-            self._put(-(-self.held // self.sequence), self.held)
+            self._put(np.concatenate(self.ids))
         self.writer.close()
 
 
 @dataclass(frozen=True)
 class TokenFiles:
-    """A folder of stream files; ``manifest`` has (shard, path, n_tokens, n_docs, first) of each, in order of doc_id."""
+    """A folder of stream files; ``manifest`` has (shard, path, n_tokens, n_docs, first) of each, in order of doc_id.
+
+    Beside each file, ``.docs`` behind its name, stands a stream of (doc_id, end): where each document ends in the file.
+    """
 
     manifest: DataFrame
     sequence: int
 
 
+_DOCS = pa.schema([("doc_id", pa.int64()), ("end", pa.int64())])
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, sequence: int = SEQUENCE) -> TokenFiles:
     """The ids of every row of (doc_id, text), each followed by ``end_id``, in ascending doc_id order, as files at ``path``.
 
-    Rows are range-partitioned by doc_id (null first; ties by text) into shards of about ``SHARD_TEXT`` bytes, each
-    written as one file under a temporary name and renamed: a task that runs again replaces its own file by the same
-    bytes. Null and empty texts are the end id alone. No rows make no files. Other columns are ignored. A vocabulary of
-    65,536 ids or fewer is stored in 16 bits.
+    Rows are range-partitioned by doc_id (null first; ties by the text's hash, then as they lie in the input) into shards
+    of ``SHARD_TEXT`` bytes on average, so neither null ids nor copies of one row make a large shard. A shard is written
+    as one file under a temporary name and renamed: a task that runs again replaces its own file by the same bytes. Null
+    and empty texts are the end id alone. No rows make no files. Other columns are ignored. A vocabulary of 65,536 ids or
+    fewer is stored in 16 bits. Texts are shuffled as zstd frames.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(total // SHARD_TEXT) + 1, spark.sparkContext.defaultParallelism)
-    shards = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("th"), F.col("row")]
+    rows = packed_text(docs.select("doc_id", "text", row_key().alias("th"), F.monotonically_increasing_id().alias("row")))
+    shards = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -184,72 +210,120 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
         fs, folder = _open(path)
         name, temporary = f"{folder}/shard-{shard:06d}.arrows", f"{folder}/_{shard:06d}-{task.taskAttemptId()}"
         coder = tokenizer_of(vocabulary)
-        end = np.array([end_id], coder.dtype)
-        n_docs = 0
+        n_docs = at = 0
         fs.create_dir(folder, recursive=True)
-        with fs.open_output_stream(temporary) as sink:
-            writer = ShardWriter(sink, sequence, coder.dtype)
-            for batch in slices(batches):
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    writer.add(doc_id, np.concatenate([np.frombuffer(coder.encode(text), coder.dtype), end]) if text else end)
-                    n_docs += 1
+        with fs.open_output_stream(temporary) as sink, fs.open_output_stream(f"{temporary}.docs") as doc_sink:
+            writer, places = ShardWriter(sink, sequence, coder.dtype), pa.ipc.new_stream(doc_sink, _DOCS)
+            for batch in _unpacked(batches):
+                ids, bounds = coder.encode(batch.column(1))
+                writer.add(np.insert(ids, bounds[1:], end_id))
+                ends = at + bounds[1:] + np.arange(1, len(bounds))
+                places.write_batch(pa.record_batch([batch.column(0), pa.array(ends, pa.int64())], schema=_DOCS))
+                n_docs, at = n_docs + batch.num_rows, int(ends[-1])
             writer.close()
+            places.close()
         if not n_docs:
             fs.delete_file(temporary)
+            fs.delete_file(f"{temporary}.docs")
             return
+        fs.move(f"{temporary}.docs", f"{name}.docs")
         fs.move(temporary, name)
         yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([f"{path}/shard-{shard:06d}.arrows"]), pa.array([writer.n_tokens], pa.int64()), pa.array([n_docs], pa.int64())], ["shard", "path", "n_tokens", "n_docs"])
 
     made = written(shards.mapInArrow(run, "shard int, path string, n_tokens long, n_docs long"), "token-files")
-    sizes = sorted((r.shard, r.path, r.n_tokens, r.n_docs) for r in made.collect())  # one row a file
-    first, table = 0, []
-    for row in sizes:
-        table.append((*row, first))
-        first += row[2]
-    return TokenFiles(spark.createDataFrame(table, "shard int, path string, n_tokens long, n_docs long, first long"), sequence)
+    # One row a file: sums before each file within a thousand files, and of the thousands before.
+    made = made.withColumn("block", (F.col("shard") / 1000).cast("int"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = made.groupBy("block").agg(F.sum("n_tokens").alias("n")).select(F.col("block").alias("_block"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
+    return TokenFiles(made.join(blocks, F.col("block") == F.col("_block")).select("shard", "path", "n_tokens", "n_docs", first.alias("first")), sequence)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) of rows with packed texts, in batches of about ``limit`` bytes of text."""
+    for batch in batches:
+        ids, texts, size, first = batch.column(0), [], 0, 0
+        for k, text in enumerate(unpacked_texts(batch.column(1))):
+            texts.append(text)
+            size += len(text or b"")
+            if size >= limit or k == batch.num_rows - 1:
+                yield pa.record_batch([ids.slice(first, len(texts)), pa.array(texts, pa.binary())], ["doc_id", "text"])
+                texts, size, first = [], 0, k + 1
+
+
+def _source(path: str):
+    fs, name = _open(path)
+    return pa.memory_map(name) if isinstance(fs, pa.fs.LocalFileSystem) else fs.open_input_file(name)
 
 
 def open_shard(path: str) -> Iterator[pa.RecordBatch]:
     """The batches of one file, without a copy where it is on a local disk (mapped) and as they come elsewhere."""
-    fs, name = _open(path)
-    source = pa.memory_map(name) if isinstance(fs, pa.fs.LocalFileSystem) else fs.open_input_file(name)
-    with source, pa.ipc.open_stream(source) as reader:
+    with _source(path) as source, pa.ipc.open_stream(source) as reader:
         yield from reader
 
 
+class TokenFile:
+    """Random access to the sequences of one file: all batches but the last are equally long, so a place is computed.
+
+    Opening reads the schema and the first batch's head. A sequence is a view of the mapped file where the file is local.
+    """
+
+    def __init__(self, path: str):
+        self.source = _source(path)
+        reader = pa.ipc.open_stream(self.source)
+        self.schema, self.first = reader.schema, self.source.tell()
+        self.sequence = self.schema.field("input_ids").type.list_size
+        one = pa.ipc.read_message(self.source) if self.first < self.source.size() else None
+        self.step = self.source.tell() - self.first
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and the mask of sequence ``k``; IndexError beyond the last."""
+        at = self.first + k // BATCH * self.step
+        if k < 0 or at >= self.source.size():
+            raise IndexError(k)
+        self.source.seek(at)
+        message = pa.ipc.read_message(self.source)
+        if message is None or message.type != "record batch":
+            raise IndexError(k)
+        batch = pa.ipc.read_record_batch(message, self.schema)
+        if k % BATCH >= batch.num_rows:
+            raise IndexError(k)
+        ids, mask = (_flat(batch.column(c).slice(k % BATCH, 1)) for c in (0, 1))
+        return ids, mask
+
+
 def sequence_at(path: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence ``k`` of a file and its mask: every batch but the last has ``BATCH`` rows, so only one batch is looked into."""
-    for i, batch in enumerate(open_shard(path)):
-        if i == k // BATCH and k % BATCH < batch.num_rows:
-            return _flat(batch.column(0).slice(k % BATCH, 1)), _flat(batch.column(1).slice(k % BATCH, 1))
-        if i > k // BATCH:
-            break
-    raise IndexError(k)
+    """Sequence ``k`` of a file and its mask, without reading any other batch."""
+    return TokenFile(path)[k]
 
 
 def _flat(column: pa.FixedSizeListArray) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=not pa.types.is_boolean(column.type.value_type))
+    return column.flatten().to_numpy(zero_copy_only=True)
 
 
 def read_documents(files: TokenFiles) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files, from their ids, masks and ends alone."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files, from their ids and masks and the places of ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rest, at = np.zeros(0, np.uint32), first
-                for part in open_shard(path):
-                    mask = _flat(part.column(1))
-                    ids = np.concatenate([rest, _flat(part.column(0))[mask].astype("<u4")])
-                    cuts = len(rest) + np.flatnonzero(_flat(part.column(2))[mask]) + 1
-                    bounds = np.concatenate([[0], cuts])
-                    crc = [zlib.crc32(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
-                    rest = ids[bounds[-1] :]
-                    yield pa.record_batch(
-                        [part.column(3).flatten(), pa.array(at + bounds[:-1], pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())],
-                        ["doc_id", "start", "n_tokens", "ids_crc32"],
-                    )
-                    at += int(bounds[-1])
+                parts, at = open_shard(path), 0  # ids of the file before ``held``
+                held = np.zeros(0, np.uint32)
+                for places in open_shard(f"{path}.docs"):
+                    ends = places.column(1).to_numpy()
+                    chunks = [held]
+                    have = at + len(held)
+                    while have < ends[-1]:
+                        part = next(parts)
+                        ids, mask = _flat(part.column(0)), _flat(part.column(1))
+                        chunks.append((ids if mask[-1] else ids[mask > 0]).astype("<u4"))
+                        have += len(chunks[-1])
+                    held = np.concatenate(chunks)
+                    starts = np.append(at, ends[:-1])
+                    crc = [zlib.crc32(held[a - at : b - at]) for a, b in zip(starts.tolist(), ends.tolist())]
+                    held, at = held[ends[-1] - at :], int(ends[-1])
+                    yield pa.record_batch([places.column(0), pa.array(first + starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = files.manifest.select("path", "first")
     n = max(1, min(files.manifest.count(), 10 * files.manifest.sparkSession.sparkContext.defaultParallelism))
@@ -257,6 +331,7 @@ def read_documents(files: TokenFiles) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the files; nulls and ties as in ``write_tokens``."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")

@@ -235,32 +235,70 @@ def test_warc(spark):
 
 
 def test_tokens(spark, docs, none):
+    import xxhash
+    from tokenizers import Tokenizer
+
     P = pytest.importorskip("public_tokenizers")
     path = P.path("byte_bpe_50k.json")
-    coder = tokens.CachedTokenizer(path, cache=50)
+    fresh = Tokenizer.from_file(path)
+    fresh.encode_special_tokens = True
     files = tokens.write_tokens(docs, fresh_path(spark, "tokens"), path, sequence=64)
     at, want = 0, []
-    for i, t in sorted(((r[0], r[1]) for r in ROWS), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
-        ids = [*coder.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+    th = lambda t: 42 if t is None else simhash._signed(xxhash.xxh64_intdigest(t, 42))
+    for i, t in sorted(((r[0], r[1]) for r in ROWS), key=lambda r: (r[0] is not None, r[0] or 0, th(r[1]))):
+        ids = [*fresh.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert rows(tokens.read_documents(files)) == sorted(want, key=str)
-    shard = files.manifest.orderBy("shard").first()
-    ids, mask = tokens.sequence_at(shard.path, 0)
-    assert len(ids) == len(mask) == 64 and mask.sum() == min(64, shard.n_tokens)
-    batch = next(tokens.open_shard(shard.path))
-    assert batch.column(0).type.list_size == 64 and not batch.column(0).flatten().to_numpy(zero_copy_only=True).flags.owndata
     assert tokens.read_documents(tokens.write_tokens(none, fresh_path(spark, "tokens"), path)).count() == 0
 
 
+def test_random_access(spark, docs):
+    """Every sequence of every shard, one of them with a document of many batches, equals the ids of the library in order."""
+    from tokenizers import Tokenizer
+
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_50k.json")
+    fresh = Tokenizer.from_file(path)
+    many = [(k, LONG[: 900 * k]) for k in range(60)] + [(99, LONG)] + [(100 + k, "w " * k) for k in range(300)]
+    files = tokens.write_tokens(spark.createDataFrame(many, "doc_id long, text string"), fresh_path(spark, "tokens"), path, sequence=8)
+    want = [x for _, t in many for x in [*fresh.encode(t, add_special_tokens=False).ids, 2]]
+    for shard in files.manifest.orderBy("shard").collect():
+        of_shard, f = want[shard["first"] : shard["first"] + shard.n_tokens], tokens.TokenFile(shard.path)
+        n = -(-len(of_shard) // 8)
+        got = [f[k] for k in range(n)]
+        assert not any(x.flags.owndata for pair in got for x in pair)  # views of the mapped file
+        assert np.concatenate([ids[mask == 1] for ids, mask in got]).tolist() == of_shard
+        assert all(len(ids) == len(mask) == 8 and (k == n - 1 or mask.all()) for k, (ids, mask) in enumerate(got))
+        for k in (n, n + tokens.BATCH, -1):
+            with pytest.raises(IndexError):
+                f[k]
+    assert sum(s.n_tokens for s in files.manifest.collect()) == len(want)
+
+
+def test_copies_of_one_id_fill_many_shards(spark, monkeypatch):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    hot = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same words").alias("text")).repartition(8)
+    files = tokens.write_tokens(hot, fresh_path(spark, "tokens"), path)
+    assert max(r.n_docs for r in files.manifest.collect()) < 1500
+    assert tokens.read_documents(files).groupBy("ids_crc32").count().first()["count"] == 4000
+
+
 def test_cached_tokenizer_is_the_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
     P = pytest.importorskip("public_tokenizers")
     coder = tokens.CachedTokenizer(P.path("byte_bpe_50k.json"), cache=40)
+    fresh = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    fresh.encode_special_tokens = True
     rng = np.random.default_rng(3)
-    parts = list(" \n.,!'$09abzÀé日\t\x1c​ -") + [" the", " of.\nIn", "'s", " 's", "<|endoftext|>", "ª", "²", "́", "ẞ", "᠎", "  ", "a.b", "\r\n"]
-    for _ in range(3000):
-        text = "".join(rng.choice(parts, rng.integers(0, 14)))
-        assert np.frombuffer(coder.encode(text), coder.dtype).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    parts = list(" \n.,!'$09abzÀé日\t\x1c\u200b -") + [" the", " of.\nIn", "'s", " 's", "<|endoftext|>", "ª", "²", "\u0301", "ẞ", "\u180e", "  ", "a.b", "\r\n", "\xa0", " \u2003", "\u3000x", "\x85"]
+    for _ in range(300):
+        texts = [None, *("".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(40))]
+        ids, bounds = coder.encode(pa.array(texts, pa.string()))
+        for k, text in enumerate(texts):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == fresh.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
 def test_packing(spark, docs, none):
