@@ -68,31 +68,39 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
+#: Buckets of so many fingerprints at most are compared pair by pair, larger ones by hubs.
+SMALL = 32
+
+
+def links(nodes: DataFrame, radius: int = 2, small: int = SMALL) -> DataFrame:
     """Edges (a, b) that connect exactly what fingerprints within ``radius`` bits connect. ``nodes``: distinct ``fp``.
 
-    The covering tables say which fingerprints have any other within reach, and in which bits such a pair may differ: a
-    fingerprint alone under all masks has none. The rest meet at hubs, the words within ``radius``/2 flips of a
-    fingerprint in those bits: two fingerprints within the radius share a hub, and all that share one are within the
-    radius. So a bucket that holds a third of all rows costs a fixed number of hubs for each member, its pairs are never
-    listed, and a hub itself has at most 65 members for a radius of 2. ``radius`` must be even.
+    The covering tables bring every pair within reach into one bucket, and a pair that met by chance costs one
+    comparison there. A bucket of more than ``small`` fingerprints is not compared: its members meet at hubs, the words
+    within ``radius``/2 flips of a fingerprint in the bits that the bucket's mask hides. Two fingerprints within the
+    radius share a hub, and all that share one are within the radius. So a bucket that holds a third of all rows costs a
+    fixed number of hubs for each member, its pairs are never listed, and a hub itself has at most 65 members for a
+    radius of 2. ``radius`` must be even.
     """
     if radius % 2 or not 2 <= radius <= 4:
         raise ValueError("radius must be 2 or 4")
     masks = covering_masks(radius)
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
     keyed = nodes.select("fp", F.inline(tables))
-    shared = keyed.groupBy("t", "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("t", "key")
+    shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = written(keyed.join(shared, ["t", "key"]), "buckets")
+    pairs = "filter(flatten(transform(xs, (x, i) -> transform(slice(xs, i + 2, size(xs)), y -> struct(x as a, y as b)))), p -> bit_count(p.a ^ p.b) <= {})"
+    compared = met.filter(F.col("n") <= small).groupBy("t", "key").agg(F.collect_list("fp").alias("xs")).select(F.inline(F.expr(pairs.format(radius))))
     hidden = F.element_at(F.array(*[F.lit(_signed(~m & ((1 << 64) - 1))) for m in masks]), F.col("t") + 1)
-    near = keyed.join(shared, ["t", "key"], "left_semi").groupBy("fp").agg(F.bit_or(hidden).alias("open"))
+    near = met.filter(F.col("n") > small).groupBy("fp").agg(F.bit_or(hidden).alias("open"))
     flips = F.expr(f"filter(transform(sequence(0, {BITS - 1}), i -> if(getbit(open, i) = 1, shiftleft(1L, i), 0L)), x -> x <> 0L)")
     near = near.select("fp", flips.alias("flips"))
     hubs = F.expr("concat(array(fp), transform(flips, x -> fp ^ x))")
     if radius == 4:
         hubs = F.expr("array_distinct(concat(array(fp), transform(flips, x -> fp ^ x), flatten(transform(flips, x -> transform(flips, y -> fp ^ x ^ y)))))")
-    met = near.select("fp", F.explode(hubs).alias("hub"))
-    least = met.groupBy("hub").agg(F.min("fp").alias("low"), F.collect_set("fp").alias("all")).filter("size(all) > 1")
-    return least.select(F.col("low").alias("a"), F.explode("all").alias("b")).filter("a <> b").distinct()
+    at = near.select("fp", F.explode(hubs).alias("hub"))
+    least = at.groupBy("hub").agg(F.min("fp").alias("low"), F.collect_set("fp").alias("all")).filter("size(all) > 1")
+    return compared.union(least.select(F.col("low").alias("a"), F.explode("all").alias("b")).filter("a <> b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
@@ -128,4 +136,5 @@ def keep_first(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document: three words a shingle, links at two bits or fewer."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
