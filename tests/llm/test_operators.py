@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from judgeloom.llm import decontaminate, language, packing, pseudo_likelihood, quality, registry, simhash, substring, tokens, toxicity, warc
+from judgeloom.llm import decontaminate, language, packing, pseudo_likelihood, quality, registry, shingles, simhash, substring, tokens, toxicity, warc
 from judgeloom.llm.common import fresh_path, sampled
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -154,13 +154,14 @@ def test_covering_links(spark):
                 x ^= 1 << k
             prints.add(x)
     nodes = spark.createDataFrame([(simhash._signed(x),) for x in prints], "fp long")
-    edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(nodes).collect()]
-    assert all((a ^ b).bit_count() <= 2 for a, b in edges)
-    joined = simhash.components(simhash.links(nodes)).collect()
     root = brute_components(prints)
     sizes = Counter(root.values())
-    assert {r.node % (1 << 64) for r in joined} == {x for x in prints if sizes[root[x]] > 1}
-    assert len({r.root for r in joined}) == sum(n > 1 for n in sizes.values())
+    for small in (simhash.SMALL, 0, 3):  # pair by pair, by hubs alone, and both
+        edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(nodes, small=small).collect()]
+        assert all((a ^ b).bit_count() <= 2 for a, b in edges)
+        joined = simhash.components(simhash.links(nodes, small=small)).collect()
+        assert {r.node % (1 << 64) for r in joined} == {x for x in prints if sizes[root[x]] > 1}
+        assert len({r.root for r in joined}) == sum(n > 1 for n in sizes.values())
     masks = simhash.covering_masks(2)
     assert all(any(not (m >> i & 1) and not (m >> j & 1) for m in masks) for i in range(64) for j in range(64))
 
@@ -193,7 +194,10 @@ def near_copy_rows():
     return out
 
 
-def test_near_copies(spark):
+@pytest.mark.parametrize("sizes", [(shingles.QUERIES, shingles.PASSING), (2, 3)])
+def test_near_copies(spark, monkeypatch, sizes):
+    monkeypatch.setattr(shingles, "QUERIES", sizes[0])
+    monkeypatch.setattr(shingles, "PASSING", sizes[1])
     pairs = near_copy_rows()
     d = spark.createDataFrame(pairs, "doc_id long, text string")
     root = brute_near_copies(pairs)
@@ -201,6 +205,14 @@ def test_near_copies(spark):
     assert len({r.component_id for r in simhash.near_duplicates(d).collect()}) > len(set(root)) + 40
 
 
+def test_keep_first_of_odd_rows(spark, docs, none):
+    kept = rows(simhash.keep_first(docs), "doc_id", "text")
+    assert kept == sorted([(r[0], r[1]) for r in ROWS if r[0] in (1, 4, 5, 7, 9, 10)], key=str)  # the least id of the wordless, of copies, and of 5 and 6
+    assert simhash.keep_first(docs).columns == docs.columns and simhash.keep_first(none).count() == 0
+    nameless = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (None, "A b  c"), (5, "x"), (5, "y z"), (4, "y z")], "doc_id long, text string")
+    assert rows(simhash.keep_first(nameless), "doc_id") == [(4,), (5,), (None,)]
+
+
 def test_fingerprint_bits():
     import xxhash
 
@@ -220,6 +232,29 @@ def test_decontamination(spark, docs):
     assert [(m["first"], m["last"], m["item_id"], m["item_first"]) for m in found[5]] == [(1, 61, "1", 0)]
     assert decontaminate.clean(docs, bench).count() == sum(not w[-1] for w in want)
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(ROWS)
+    assert rows(decontaminate.report(docs, bench, block_bytes=500)) == want
+    assert rows(decontaminate.clean(docs, bench, block_bytes=500)) == rows(decontaminate.clean(docs, bench))
+    assert decontaminate.report(docs.limit(0), bench).count() == 0
+
+
+def test_decontamination_of_repeats(spark):
+    """A word repeated on both sides makes as many results as there are words, not as many as pairs of places."""
+    test = decontaminate.TestSuffixes([("a", "x " * 1000), ("b", "x " * 5), ("c", "x y " * 40)])
+    text, first, window = decontaminate.search(test, [[b"x"] * 100_000])
+    assert len(text) == (100_000 - 12) + (100_000 - 4)
+    rng = np.random.default_rng(4)
+    texts = [(k, " ".join(rng.choice(["a", "b"], 200, p=[0.8, 0.2]))) for k in range(30)]
+    items = [(f"i{k}", " ".join(rng.choice(["a", "b"], n, p=[0.8, 0.2]))) for k, n in enumerate([3, 5, 20, 60, 13, 12])]
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    assert rows(decontaminate.report(d, b)) == brute_hits(texts, items)
+    words = {i: t.split() for i, t in texts} | {i: t.split() for i, t in items}
+    for r in decontaminate.matches(d, b).collect():
+        hit = set()
+        for m in r.matches:
+            n = m["last"] - m["first"]
+            assert words[r.doc_id][m["first"] : m["last"]] == words[m["item_id"]][m["item_first"] : m["item_first"] + n]
+            hit.update(range(m["first"], m["last"]))
+        assert len(hit) == r.n_hit
 
 
 def test_warc(spark):
@@ -343,26 +378,109 @@ def test_risk_control(spark):
         from math import comb
 
         assert sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) == pytest.approx(0.05, rel=1e-6)
-    rng = np.random.default_rng(0)
-    stats = [(i, "en", 100, 500, int(s), 0, 0) for i, s in enumerate(rng.integers(0, 12, 4000))] + [(9000 + i, "few", 100, 500, 90, 0, 0) for i in range(5)]
-    df = spark.createDataFrame(stats, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
-    labels = spark.createDataFrame([(r[0], 1) for r in stats], "doc_id long, quality int")
-    cutoffs = quality.calibrate(df, labels)
-    assert cutoffs["en", "symbols"] == 0.1 or cutoffs["en", "symbols"] == 0.12
-    assert not any(s == "few" for s, _ in cutoffs)  # too few to promise anything
     for k, n, share, sure in ((0, 500, 0.01, 0.01), (0, 300, 0.01, 0.05), (3, 900, 0.01, 0.05), (2, 900, 0.01, 0.05), (0, 458, 0.01, 0.01), (50, 9000, 0.01, 1e-6)):
         assert quality.certified(k, n, share, sure) == (quality.binomial_upper(k, n, sure) <= share)
 
 
+STATS = "doc_id long, stratum string, th long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+
+
+def test_cutoffs_tell_bad_from_good(spark):
+    rng = np.random.default_rng(0)
+    good = [(i, "en", i, 100, 500, int(s), 0, 0) for i, s in enumerate(rng.integers(0, 12, 320))]
+    bad = [(5000 + i, "en", 5000 + i, 100, 500, 30 + i, 0, 0) for i in range(20)]
+    few = [(9000 + i, "few", 9000 + i, 100, 500, 5 if i % 2 else 90, 0, 0) for i in range(40)]
+    copies = [(20_000 + i, "copies", 7, 100, 500, 0, 0, 0) for i in range(700)] + [(30_000 + i, "copies", 30_000 + i, 100, 500, 80, 0, 0) for i in range(20)]
+    labels = spark.createDataFrame([(r[0], int(r[5] < 20)) for r in good + bad + few + copies], "doc_id long, quality int")
+    found = {r["_stratum"]: r for r in quality.cutoffs(spark.createDataFrame(good + bad + few + copies, STATS), labels).collect()}
+    assert 0.28 <= found["en"]["_symbols"] < 0.4 and found["en"]["_rejected"] == 0 and found["en"]["_bound"] <= quality.ALPHA
+    assert [found["en"][f"_{r[0]}"] for r in quality.RULES[1:]] == [None] * 4
+    for name in ("few", "copies"):  # too few to promise anything; copies of one text are one trial
+        assert [found[name][f"_{r[0]}"] for r in quality.RULES] == [None] * 5 and found[name]["_n"] < 30
+
+
+def brute_cutoffs(rows, quality_of, alpha, delta):
+    """Path and tests as the docstrings have them, row by row: {stratum: {rule: cutoff}}."""
+    strata = sorted({r[1] for r in rows})
+    of = {"n_words": 3, "word_chars": 4, "n_symbols": 5, "n_dup_lines": 6, "n_repeat_words": 7}
+
+    def level(r, rule):
+        ratio = r[of[rule[1]]] / r[of[rule[2]]]
+        return next((k for k, c in enumerate(rule[4]) if (ratio > c if rule[3] == "over" else ratio < c)), len(rule[4]))
+
+    half = {r[0]: r[8] for r in rows}
+    paths = {}
+    for s in strata:
+        mine = [r for r in rows if r[1] == s]
+        at, path = [-1] * 5, []
+        while True:
+            best = None
+            for k, rule in enumerate(quality.RULES):
+                for cut in range(at[k] + 1, len(rule[4])):
+                    new = [quality_of[r[0]] for r in mine if half[r[0]] == 0 and at[k] < level(r, rule) <= cut]
+                    last = [x for x in (quality_of[r[0]] for r in mine if half[r[0]] == 0 and level(r, rule) == cut) if not x]
+                    if last:
+                        key = (new.count(0) / (new.count(1) + 0.5), new.count(0), -k, -(cut - at[k] - 1))
+                        best = max(best, (key, k, cut)) if best else (key, k, cut)
+            if not best:
+                break
+            path.append(best[1:])
+            at[best[1]] = best[2]
+        paths[s] = path
+    sure = delta / max(1, sum(bool(p) for p in paths.values()))
+    out = {}
+    for s in strata:
+        held = [r for r in rows if r[1] == s and half[r[0]] == 1 and quality_of[r[0]]]
+        now, out[s] = {}, {}
+        for k, cut in paths[s]:
+            now[k] = cut
+            wrong = sum(any(level(r, quality.RULES[j]) <= c for j, c in now.items()) for r in held)
+            if not held or quality.binomial_upper(wrong, len(held), sure) > alpha:
+                break
+            out[s] = {quality.RULES[j][0]: quality.RULES[j][4][c] for j, c in now.items()}
+    return out
+
+
+def test_cutoffs_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows_ = []
+    for s in ("a", "b", "c"):
+        for _ in range(260):
+            bad = rng.random() < 0.2
+            rows_.append((len(rows_), s, len(rows_), 100, int(rng.integers(300, 700)) if not bad else int(rng.integers(250, 900)), int(rng.integers(0, 15)) + 20 * bad * (s != "b"), int(rng.integers(0, 6) + bad * rng.integers(0, 20)), int(rng.integers(0, 30)), bool(bad)))
+    stats = spark.createDataFrame([r[:8] for r in rows_], STATS)
+    half = {r.doc_id: r.half for r in stats.select("doc_id", F.pmod(F.xxhash64("th", F.lit(11)), F.lit(2)).alias("half")).collect()}
+    quality_of = {r[0]: int(not r[8]) for r in rows_}
+    labels = spark.createDataFrame(list(quality_of.items()), "doc_id long, quality int")
+    want = brute_cutoffs([(*r[:8], half[r[0]]) for r in rows_], quality_of, 0.1, 0.1)
+    got = quality.calibrate(stats, labels, 0.1, 0.1)
+    assert got == {(s, name): c for s, found in want.items() for name, c in found.items()} and got
+
+
+def test_promise_holds(spark):
+    """Good and bad rows that nothing tells apart: of 60 strata none rejects more than ALPHA of its good documents."""
+    rng = np.random.default_rng(9)
+    draw = lambda n: rng.integers(0, 60, n)
+    rows_, labels = [], []
+    for s in range(60):
+        for k, x in enumerate(draw(700)):
+            rows_.append((len(rows_), f"s{s}", len(rows_), 100, 500, int(x), 0, 0))
+            labels.append((len(labels), int(k % 3 > 0)))
+    found = quality.calibrate(spark.createDataFrame(rows_, STATS), spark.createDataFrame(labels, "doc_id long, quality int"))
+    share = lambda cutoff: np.mean([x / 100 > cutoff for x in range(60)])
+    assert all(share(c) <= quality.ALPHA for c in found.values())
+
+
 def test_every_stratum_is_calibrated(spark):
     """However many strata there are, each has its own cutoffs, and a row is judged by those of its stratum."""
-    names, good, text = [f"l{k:03d}" for k in range(80)], 1100, " ".join(f"w{i}" for i in range(60))
-    docs = spark.range(len(names) * good).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.element_at(F.array(*map(F.lit, names)), (F.col("id") % len(names) + 1).cast("int")).alias("lang"))
-    labels = docs.select("doc_id", F.lit(1).alias("quality"))
-    found = quality.cutoffs(quality.figures(docs), labels).collect()
-    assert sorted(r["_stratum"] for r in found) == names and all(r["_symbols"] == 0.04 for r in found)
-    bad = spark.createDataFrame([(-1, text + " #" * 9, "l000"), (-2, text + " #" * 9, "l079")], "doc_id long, text string, lang string")
-    assert [r.kept for r in quality.judged(docs.union(bad), labels).filter("doc_id < 0").collect()] == [False, False]
+    names, good, text = [f"l{k:03d}" for k in range(80)], 400, " ".join(f"w{i}" for i in range(60))
+    lang = F.element_at(F.array(*map(F.lit, names)), (F.col("id") % len(names) + 1).cast("int")).alias("lang")
+    rows_ = spark.range(len(names) * good).select(F.col("id").alias("doc_id"), F.concat(F.lit(text + " "), F.col("id").cast("string"), F.when(F.col("id") < 20 * 80, F.lit(" #" * 9)).otherwise(F.lit(""))).alias("text"), lang)
+    labels = rows_.select("doc_id", (F.col("doc_id") >= 20 * 80).cast("int").alias("quality"))
+    found = quality.cutoffs(quality.figures(rows_), labels).collect()
+    assert sorted(r["_stratum"] for r in found) == names and all(r["_symbols"] == 0.12 for r in found)
+    new = spark.createDataFrame([(-1, text + " #" * 9, "l000"), (-2, text + " #" * 9, "l079"), (-3, text, "l079")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.kept for r in quality.judged(rows_.union(new), labels).filter("doc_id < 0").collect()} == {-1: False, -2: False, -3: True}
 
 
 def test_sample_of_copies(spark):
