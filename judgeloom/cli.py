@@ -11,15 +11,15 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .functions.uncertainty import logit_metrics
 from .operators.sampling import distinct_over, shuffled, stratified_sample, value_counts
 from .operators.sinks import write_csv
-from .plans.experiments import run_experiment
+from .plans.experiments import demo_record, run_experiment
 
 # The columns of a sampled data set.
 SAMPLE_COLUMNS = ["question_id", "model_a", "model_b", "winner", "turn", "conversation_a", "conversation_b"]
 
 
+# Commands, flags and defaults of the command line, down to where a parser is returned.
 def _experiment(parser: argparse.ArgumentParser) -> None:
     parser.add_argument("--data-path", required=True)
     parser.add_argument("--output-dir", required=True)
@@ -33,7 +33,7 @@ def _experiment(parser: argparse.ArgumentParser) -> None:
 def build_parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser("judgeloom", description=__doc__)
     commands = parser.add_subparsers(dest="command")
-    commands.add_parser("schema-demo", help="print one run record's metrics")
+    commands.add_parser("schema-demo", help="print one run record")
     for name in ("run-position", "run-authority", "run-bandwagon"):
         _experiment(commands.add_parser(name))
     sample = commands.add_parser("prepare-sample", help="equal numbers of rows for each winner, as CSV")
@@ -45,8 +45,9 @@ def build_parser() -> argparse.ArgumentParser:
 
 
 def demo(spark: SparkSession) -> dict:
-    row = spark.range(1).select(*[c.alias(n) for n, c in logit_metrics(F.lit(0.18), F.lit(0.77), F.lit(0.05)).items()]).first()
-    return {"example_id": "demo-q1", "verdict": "B", "seed": 0, "uncertainty": {"logit": row.asDict()}, "raw_prompt_logprobs": {"A": 0.18, "B": 0.77, "tie": 0.05}}
+    """A whole run record as plain values."""
+    row = demo_record(spark).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()
+    return json.loads(row[0])
 
 
 def prepare_sample(spark: SparkSession, data_path: str, output_path: str, target_size: int, seed: int) -> None:

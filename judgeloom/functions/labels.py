@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import first_letter, strip
 
 LABELS = ("A", "B", "tie")
 # The spellings of a winner.
@@ -45,8 +45,8 @@ def argmax_label(a: Column, b: Column, t: Column) -> Column:
 
 def parse_verdict(text: Column, a: Column, b: Column, t: Column) -> Column:
     """By the first letter of the stripped text in upper case (A, B, T); else by probability; null where there is none."""
-    up = F.upper(strip(text))
-    return F.when(up.startswith("A"), "A").when(up.startswith("B"), "B").when(up.startswith("T"), "tie").when(a.isNotNull(), argmax_label(a, b, t))
+    first = first_letter(text)
+    return F.when(first.startswith("A"), "A").when(first.startswith("B"), "B").when(first.startswith("T"), "tie").when(a.isNotNull(), argmax_label(a, b, t))
 
 
 def strict_verdict(text: Column, a: Column, b: Column, t: Column) -> Column:

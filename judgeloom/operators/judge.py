@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.labels import strict_verdict
-from ..functions.uncertainty import one_hot
+from ..functions.uncertainty import normalized, one_hot
 
 #: A judge gets a batch (prompt_text, seed, temperature) and returns (raw_text, p_a, p_b, p_tie); probabilities may be null.
 Judge = Callable[[pd.DataFrame], pd.DataFrame]
@@ -30,7 +31,8 @@ def judged_by(asked: DataFrame, load: Callable[[], Judge], keys: list[str]) -> D
     read twice, or calls are repeated.
     """
     slim = asked.select(*keys, "kind", "seed", "temperature", "prompt_text")
-    schema = slim.drop("prompt_text").schema.simpleString()[7:-1] + ", raw_text: string, p_a: double, p_b: double, p_tie: double"
+    given = [T.StructField("raw_text", T.StringType())] + [T.StructField(c, T.DoubleType()) for c in ("p_a", "p_b", "p_tie")]
+    schema = T.StructType([*slim.drop("prompt_text").schema.fields, *given])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = load()
@@ -38,7 +40,7 @@ def judged_by(asked: DataFrame, load: Callable[[], Judge], keys: list[str]) -> D
             answer = judge(pdf[["prompt_text", "seed", "temperature"]])
             yield pd.concat([pdf.drop(columns="prompt_text"), answer[["raw_text", "p_a", "p_b", "p_tie"]].set_index(pdf.index)], axis=1)
 
-    return with_verdicts(slim.mapInPandas(run, ", ".join(f"`{a.split(':', 1)[0].strip()}` {a.split(':', 1)[1].strip()}" for a in schema.split(","))))
+    return with_verdicts(slim.mapInPandas(run, schema))
 
 
 def replayed(asked: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,7 +49,16 @@ def replayed(asked: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame
 
 
 def with_verdicts(answers: DataFrame) -> DataFrame:
-    """Adds the verdict; probabilities that are missing become one-hot."""
-    out = answers.withColumn("verdict", strict_verdict(F.coalesce("raw_text", F.lit("")), F.col("p_a"), F.col("p_b"), F.col("p_tie")))
+    """Adds the verdict, and makes the probabilities sum to 1.
+
+    An answer without any probability gets the one-hot ones of its verdict. One with some has 0 for the labels that it
+    leaves out. Probabilities without mass are an error.
+    """
+    labels = (("p_a", "A"), ("p_b", "B"), ("p_tie", "tie"))
+    some = F.coalesce(*(F.col(c) for c, _ in labels)).isNotNull()
+    given = {c: F.when(some, F.coalesce(c, F.lit(0.0))) for c, _ in labels}
+    out = answers.withColumns(given)
+    out = out.withColumn("verdict", strict_verdict(F.coalesce("raw_text", F.lit("")), F.col("p_a"), F.col("p_b"), F.col("p_tie")))
     hot = one_hot(F.col("verdict"))
-    return out.withColumns({c: F.coalesce(c, hot[k]) for c, k in (("p_a", "A"), ("p_b", "B"), ("p_tie", "tie"))})
+    whole = [F.coalesce(F.col(c), hot[k]) for c, k in labels]
+    return out.withColumns(dict(zip((c for c, _ in labels), normalized(whole))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.conversation import first_question, rendered
-from ..functions.text import stable_hash_column, strip
+from ..functions.text import digest_column, strip
 
 # The wording of the prompts.
 CHAT_SYSTEM = {
@@ -54,33 +54,37 @@ BIAS_TYPE = {
     "bandwagon_a": "bandwagon", "bandwagon_b": "bandwagon", "anchoring_a": "decoy", "anchoring_b": "decoy",
 }
 ALLOWED = ["A", "B", "tie"]
+CUES = {
+    "authority": ("Authority cue: A senior expert evaluator previously judged Answer ", " to be the stronger response."),
+    "bandwagon": ("Bandwagon cue: In a recent survey of 1,000 users, 85% of respondents preferred Answer ", "."),
+}
+CHAT_FRAME = ("<|im_start|>system\n", "<|im_end|>\n<|im_start|>user\n", "Conversation:\n", "\n\nAnswer A:\n", "\n\nAnswer B:\n", "\n\n", "<|im_end|>\n<|im_start|>assistant\n")
+MATRIX_FRAME = ("[Question]\n", "\n\n[Response A]\n", "\n\n[Response B]\n", "\n", "\nWhich response better addresses the question?")
+# Here the fixed values end.
 
 
 def cue(family: str, label: Column) -> Column:
     """The cue that favours an answer; null for a null label. The bandwagon wording is the matrix's, for answers."""
-    if family == "authority":
-        return F.concat(F.lit("Authority cue: A senior expert evaluator previously judged Answer "), label, F.lit(" to be the stronger response."))
-    if family == "bandwagon":
-        return F.concat(F.lit("Bandwagon cue: In a recent survey of 1,000 users, 85% of respondents preferred Answer "), label, F.lit("."))
-    raise KeyError(family)
+    before, after = CUES[family]
+    return F.concat(F.lit(before), label, F.lit(after))
 
 
 def chat_prompt(family: str, messages: Column, answer_a: Column, answer_b: Column, cue_text: Column | None = None, output_mode: str = "choice_only") -> Column:
     """The chat-framed prompt: cue if any, conversation, both answers, instructions."""
     system = CHAT_SYSTEM.get(family, CHAT_SYSTEM["authority"])
     cue_block = F.lit("") if cue_text is None else F.when(F.coalesce(cue_text, F.lit("")) != "", F.concat(cue_text, F.lit("\n\n"))).otherwise("")
+    begin, user, talk, first, second, ask, end = CHAT_FRAME
     return F.concat(
-        F.lit(f"<|im_start|>system\n{system}<|im_end|>\n<|im_start|>user\n"), cue_block, F.lit("Conversation:\n"), rendered(messages),
-        F.lit("\n\nAnswer A:\n"), strip(answer_a), F.lit("\n\nAnswer B:\n"), strip(answer_b),
-        F.lit(f"\n\n{CHAT_INSTRUCTIONS[output_mode]}<|im_end|>\n<|im_start|>assistant\n"),
+        F.lit(begin + system + user), cue_block, F.lit(talk), rendered(messages), F.lit(first), strip(answer_a), F.lit(second), strip(answer_b),
+        F.lit(ask + CHAT_INSTRUCTIONS[output_mode] + end),
     )
 
 
 def chat_hash(family: str, example_id: Column, prompt_text: Column, cue_text: Column | None = None, output_mode: str = "choice_only") -> Column:
     fields = {"example_id": example_id, "output_mode": F.lit(output_mode), "prompt_text": prompt_text}
     if family != "position":
-        fields["cue_text"] = F.lit(None).cast("string") if cue_text is None else cue_text
-    return stable_hash_column(fields)
+        fields["cue_text"] = cue_text
+    return digest_column(fields)
 
 
 def conditions(spark: SparkSession, variants: list[str] | None = None) -> DataFrame:
@@ -98,17 +102,22 @@ def matrix_prompts(examples: DataFrame, spark: SparkSession, variants: list[str]
     crossed = examples.crossJoin(F.broadcast(conditions(spark, variants)))  # nine rows
     swapped = F.col("variant_id") == "position_swapped"
     first, second = F.when(swapped, F.col("answer_b")).otherwise(F.col("answer_a")), F.when(swapped, F.col("answer_a")).otherwise(F.col("answer_b"))
-    user = F.concat(
-        F.lit("[Question]\n"), strip(first_question(F.col("prompt_messages"))), F.lit("\n\n[Response A]\n"), strip(first), F.lit("\n\n[Response B]\n"), strip(second),
-        F.lit("\n"), F.col("injection"), F.lit("\nWhich response better addresses the question?"),
-    )
-    out = crossed.select("example_id", "variant_id", "bias_type", F.lit(MATRIX_SYSTEM[output_mode]).alias("system_text"), user.alias("user_text"))
+    question, one, other, cue_block, ask = map(F.lit, MATRIX_FRAME)
+    user = F.concat(question, strip(first_question(F.col("prompt_messages"))), one, strip(first), other, strip(second), cue_block, F.col("injection"), ask)
+    mode = "choice_with_confidence" if "CONFIDENCE" in output_mode.upper() else "choice_only"
+    out = crossed.select("example_id", "variant_id", "bias_type", F.lit(MATRIX_SYSTEM[mode]).alias("system_text"), user.alias("user_text"))
     return out.withColumn("prompt_text", F.concat("system_text", F.lit("\n\n"), "user_text"))
 
 
-def matrix_hash(output_mode: str = "choice_only") -> Column:
-    labels = F.array(*[F.lit(x) for x in ALLOWED])
-    return stable_hash_column({"system": F.col("system_text"), "user": F.col("user_text"), "variant_id": F.col("variant_id"), "bias_type": F.col("bias_type"), "output_mode": F.lit(output_mode), "allowed_labels": labels})
+def matrix_packages(examples: DataFrame, spark: SparkSession, variants: list[str] | None = None, output_mode: str = "choice_only", allowed_labels: list[str] | None = None, extra_metadata: dict | None = None) -> DataFrame:
+    """``matrix_prompts`` with output_mode, allowed_labels and prompt_hash. ``extra_metadata`` (strings, integers, objects, lists) goes into the hash alone."""
+    labels = [F.lit(x) for x in allowed_labels or ALLOWED]
+    as_columns = lambda v: {k: as_columns(x) for k, x in v.items()} if isinstance(v, dict) else [as_columns(x) for x in v] if isinstance(v, list) else F.lit(v)
+    fields = {"system": F.col("system_text"), "user": F.col("user_text"), "variant_id": F.col("variant_id"), "bias_type": F.col("bias_type"), "output_mode": F.lit(output_mode), "allowed_labels": labels}
+    if extra_metadata:
+        fields["extra_metadata"] = as_columns(extra_metadata)
+    out = matrix_prompts(examples, spark, variants, output_mode)
+    return out.withColumns({"output_mode": F.lit(output_mode), "allowed_labels": F.array(*labels), "prompt_hash": digest_column(fields)})
 
 
 def expand_cues(usable: DataFrame, family: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import stable_hash_column
+from ..functions.text import digest_column, payload_digest
 from ..functions.uncertainty import logit_metrics
 from ..operators.consistency import consistency
 from ..operators.judge import Judge, judged_by, requests
@@ -45,7 +45,7 @@ def position_pairs(judged: DataFrame) -> DataFrame:
 def position_summary(pairs: DataFrame) -> DataFrame:
     usable = F.count_if((F.col("original_verdict") != "tie") & (F.col("swapped_verdict") != "tie"))
     flips = F.count_if("position_flip")
-    return pairs.agg(F.count("*").alias("num_pairs_loaded"), usable.alias("num_pairs_usable"), flips.alias("num_position_flips"), F.try_divide(flips, usable).alias("position_flip_rate"))
+    return pairs.agg(F.count("*").alias("total_pairs_loaded"), usable.alias("usable_pairs_for_flip"), flips.alias("flip_count"), F.try_divide(flips, usable).alias("flip_rate"))
 
 
 def cue_pairs(judged: DataFrame, family: str) -> DataFrame:
@@ -73,7 +73,7 @@ def cue_summary(pairs: DataFrame, family: str) -> DataFrame:
     sides = (f"{family}_congruent", f"{family}_incongruent")
     rate = lambda c: F.avg(F.col(c).cast("double"))
     return pairs.agg(
-        F.count("*").alias("num_pairs_evaluated"), F.avg("control_entropy").alias("mean_control_entropy"), *[F.avg(f"{v}_entropy").alias(f"mean_{v}_entropy") for v in sides],
+        F.count("*").alias("total_pairs_evaluated"), F.avg("control_entropy").alias("mean_control_entropy"), *[F.avg(f"{v}_entropy").alias(f"mean_{v}_entropy") for v in sides],
         *[F.avg(f"{v}_delta_entropy").alias(f"mean_{v}_delta_entropy") for v in sides], *[rate(f"{v}_cue_follow").alias(f"{v}_cue_follow_rate") for v in sides],
         *[rate(f"{v}_shift_from_control").alias(f"{v}_shift_rate") for v in sides],
     )
@@ -89,7 +89,7 @@ def run_records(examples: DataFrame, judged: DataFrame, spec: dict, bias_name: s
     logit = F.struct("entropy", "msp", "margin", "normalized_entropy")
     again = F.struct(F.col("run_count").cast("int").alias("run_count"), "agreement_rate", "vote_entropy", F.col("unique_verdict_count").cast("int").alias("unique_verdict_count"), "flip_rate")
     response = F.when(F.col("verdict") == "A", F.col("response_id_a")).when(F.col("verdict") == "B", F.col("response_id_b"))
-    record = stable_hash_column({"example_id": F.col("example_id"), "model_name": F.lit(spec["model_name"]), "variant_id": F.col("variant_id"), "seed": F.lit(0), "prompt_hash": F.col("prompt_hash")})
+    record = digest_column({"example_id": F.col("example_id"), "model_name": F.lit(spec["model_name"]), "variant_id": F.col("variant_id"), "seed": F.lit(0), "prompt_hash": F.col("prompt_hash")})
     spec_struct = F.struct(
         *[text(spec.get(k)).alias(k) for k in ("dataset_name", "dataset_split", "model_name", "backend_name")], text(bias_name).alias("bias_name"), text("choice_only").alias("output_mode"),
         F.array(F.lit("logit"), F.lit("consistency")).alias("uncertainty_methods"), F.lit(spec["consistency_runs"]).alias("consistency_runs"), F.lit(float(spec["temperature"])).alias("temperature"),
@@ -130,11 +130,31 @@ def run_experiment(spark: SparkSession, csv_path: str, output_dir: str, family:
     greedy = with_metrics(judgments.filter("kind = 'greedy'")).drop("kind", "seed", "temperature", "raw_text")
     votes = judgments.filter("kind = 'sampled'").select(*KEYS, "verdict").join(greedy.select(*KEYS, F.col("verdict").alias("anchor")), KEYS)
     judged = greedy.join(consistency(votes, KEYS), KEYS)
-    spec = {"dataset_name": csv_path.rstrip("/").rsplit("/", 1)[-1], "dataset_split": "full", "model_name": model_name, "backend_name": "callable", "consistency_runs": consistency_runs, "temperature": sampling_temperature}
+    spec = {"dataset_name": csv_path.rstrip("/").rsplit("/", 1)[-1], "dataset_split": f"{family}_stratified", "model_name": model_name, "backend_name": "callable", "consistency_runs": consistency_runs, "temperature": sampling_temperature}
     write_jsonl(run_records(examples, judged, spec, family), f"{output_dir}/run_records")
     slim = examples.drop("prompt_messages", "prompt_text", "prompt_hash", "answer_a", "answer_b", "cue_text").join(judged, KEYS)
     pairs = position_pairs(slim) if family == "position" else cue_pairs(slim, family)
     write_jsonl(pairs.drop("source_row_index"), f"{output_dir}/pair_summary")
     summary = position_summary(pairs) if family == "position" else cue_summary(pairs, family)
-    about = {"bias_name": family, "model_name": model_name, "consistency_runs": consistency_runs, "sampling_temperature": float(sampling_temperature)}
-    return write_summary(summary.select(*[F.lit(v).alias(k) for k, v in about.items()], "*"), f"{output_dir}/summary")
+    about = {"model_name": model_name, "csv_path": csv_path, "output_dir": output_dir, "consistency_runs": consistency_runs, "sampling_temperature": float(sampling_temperature)}
+    about |= {"raw_records_path": f"{output_dir}/run_records", "pair_summary_path": f"{output_dir}/pair_summary"}
+    return write_summary(summary.select(*[F.lit(v).alias(k) for k, v in about.items()], "*"), f"{output_dir}/{family}_summary.json")
+
+
+def demo_record(spark: SparkSession) -> DataFrame:
+    """One whole run record: a control judgment of B, seed 0, by hand."""
+    probs = {"A": 0.18, "B": 0.77, "tie": 0.05}
+    text = lambda c: F.lit(c).cast("string")
+    spec = {"dataset_name": "demo", "dataset_split": "train", "model_name": "demo-judge", "backend_name": "manual", "bias_name": "control", "output_mode": "choice_only"}
+    spec_struct = F.struct(*[text(v).alias(k) for k, v in spec.items()], F.array(F.lit("logit")).alias("uncertainty_methods"), F.lit(1).alias("consistency_runs"), F.lit(0.0).alias("temperature"))
+    condition = {"bias_type": "control", "variant_id": "control", "cue_target": None, "cue_congruency": "none", "cue_text": None, "decoy_anchor": None}
+    logit = F.struct(*[c.alias(n) for n, c in logit_metrics(*[F.lit(p) for p in probs.values()]).items()])
+    verbal = F.struct(F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("double").alias("uncertainty"))
+    empty = F.create_map().cast("map<string,string>")
+    return spark.range(1).select(
+        F.lit(payload_digest({"example_id": "demo-q1", "seed": 0})).alias("record_id"), F.current_timestamp().alias("created_at"), spec_struct.alias("spec"), F.lit("demo-q1").alias("example_id"), F.lit("1").alias("question_id"),
+        F.struct(*[text(v).alias(k) for k, v in condition.items()], empty.alias("metadata")).alias("condition"), F.lit(0).alias("seed"), F.lit("B").alias("verdict"), F.lit("B").alias("raw_output"),
+        F.lit(payload_digest({"prompt": "Judge which response is better. Reply with A, B, or tie."})).alias("prompt_hash"),
+        F.struct(logit.alias("logit"), verbal.alias("verbalized"), F.lit(None).cast("struct<run_count:int,agreement_rate:double,vote_entropy:double,unique_verdict_count:int,flip_rate:double>").alias("consistency")).alias("uncertainty"),
+        F.create_map(*[F.lit(x) for pair in probs.items() for x in pair]).alias("raw_prompt_logprobs"), empty.alias("metadata"),
+    )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +87,49 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.join(first, "user_id")
 
 
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh place in the shared folder; on one machine, where none is named, in its temporary folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{base.rstrip('/') or 'file://' + tempfile.mkdtemp(prefix='judgeloom-')}/judgeloom/{label}-{uuid.uuid4().hex}"
+
+
+def csv_of(rows: DataFrame, order: str, path: str) -> str:
+    """``rows`` in one CSV file, in order, every cell as it is."""
+    plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+    rows.orderBy(order).coalesce(1).drop(order).write.options(**plain).csv(path)
+    return path
+
+
+def comparison_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The pairs of ``conversation_pairs`` as a file with odd headers, cells and winners, some rows unusable."""
+    k = F.col("source_row_index")
+    winner = F.element_at(F.array(*map(F.lit, ("Model_A", "2", " tie ", "nobody"))), (k % 4 + 1).cast("int"))
+    rows = conversation_pairs(spark, sf_dir).select(
+        k.alias("_k"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(" c"), k.cast("string"), F.lit(" "))).alias("ID"), F.lit("unused").alias("pair_id"), F.when(k % 3 > 0, (k % 3).cast("string")).otherwise("").alias("Turn ID"),
+        winner.alias("HUMAN-WINNER"), F.when(k % 2 == 0, " m ").otherwise("").alias("Model A Name"), F.to_json("prompt_messages").alias("question"), F.lit("unused").alias("prompt"),
+        F.concat(F.lit(' "so", '), "response_a", F.lit("\nend\\ ")).alias("Response A"), F.when(k % 11 == 0, "  ").otherwise(F.col("response_b")).alias("answer_b"),
+    )
+    return csv_of(rows, "_k", scratch(spark, "csv"))
+
+
+def conversation_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Whole conversations against altered ones: every other one differs from the first message on, the rest in the last."""
+    first = F.transform("messages", lambda m, i: F.struct(m["role"].alias("role"), F.when((F.col("conv_id") % 2 == 0) & (i == 0), F.lit("else")).otherwise(m["content"]).alias("content")))
+    other = F.when(F.size("messages") > 0, F.concat(F.slice(first, F.lit(1), F.size("messages") - 1), F.array(F.struct(F.lit(" Assistant ").alias("role"), F.concat(F.lit("other "), F.col("conv_id").cast("string")).alias("content")))))
+    rows = messages(spark, sf_dir).select(F.col("conv_id").alias("_k"), F.col("conv_id").alias("question_id"), F.lit("left").alias("preference"), F.to_json("messages").alias("Chat A"), F.to_json(F.struct(other.alias("turns"))).alias("messages_b"))
+    return csv_of(rows, "_k", scratch(spark, "csv"))
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """Recorded answers to requests, by arithmetic on the pair's number: some without probabilities, some with a part of them."""
+    k = F.col("source_row_index")
+    turn = (k + F.when(F.col("variant_id") == "swapped", 1).otherwise(0) + F.when(F.col("kind") == "sampled", F.col("seed") * F.col("seed")).otherwise(0)) % 3
+    given = lambda c: F.when(k % 4 > 0, c.cast("double"))
+    return asked.select(
+        "source_row_index", "variant_id", "kind", "seed", F.element_at(F.array(*map(F.lit, (" a", "Both", "tie"))), (turn + 1).cast("int")).alias("raw_text"),
+        given(k % 7 + 1).alias("p_a"), given(k % 5 + 1).alias("p_b"), F.when(k % 4 > 1, k % 3 + 1).cast("double").alias("p_tie"),
+    )

@@ -1,3 +1,7 @@
+import json
+
+import pytest
+
 from pyspark.sql import functions as F
 
 from judgeloom.cli import demo, main, prepare_sample
@@ -24,3 +28,35 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(str, spark.table("votes").collect())) == sorted(map(str, verdict_counts(events).collect()))
+
+
+def test_runner_flags(spark, tmp_path, capsys, monkeypatch):
+    from test_engine import CSV
+
+    (tmp_path / "pairs.csv").write_text(CSV)
+    (tmp_path / "my_judge.py").write_text("from test_engine import load_judge as load\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    flags = ["--data-path", str(tmp_path / "pairs.csv"), "--output-dir", str(tmp_path / "out"), "--judge", "my_judge:load", "--model-name", "m1", "--limit", "2", "--consistency-runs", "1", "--sampling-temperature", "0.3"]
+    assert main(["run-position", *flags]) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert (got["model_name"], got["total_pairs_loaded"], got["consistency_runs"], got["sampling_temperature"]) == ("m1", 2, 1, 0.3)
+    assert json.loads((tmp_path / "out" / "position_summary.json").read_text()) == got
+    assert main(["run-bandwagon", *flags]) == 0 and json.loads(capsys.readouterr().out)["bandwagon_congruent_cue_follow_rate"] is not None
+
+
+def test_demo_record(spark, capsys):
+    import judgeloom
+
+    assert main(["schema-demo"]) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert list(got) == judgeloom.RUN_RECORD.fieldNames()
+    assert (got["record_id"], got["prompt_hash"]) == ("b1db7b304cc9923e", "36d08549733e85f3")
+    assert got["uncertainty"]["logit"]["entropy"] == pytest.approx(0.9517476484356663) and got["uncertainty"]["consistency"] is None and got["spec"]["uncertainty_methods"] == ["logit"]
+
+
+def test_sample_command(spark, tmp_path, capsys):
+    rows = spark.range(60).selectExpr("id AS question_id", "'x' AS model_a", "'y' AS model_b", "element_at(array('model_a', 'model_b', 'tie'), cast(id % 3 + 1 AS int)) AS winner", "1 AS turn", "array(named_struct('role', 'user', 'content', 'q')) AS conversation_a", "array(named_struct('role', 'user', 'content', 'q')) AS conversation_b")
+    rows.write.parquet(str(tmp_path / "in"))
+    assert main(["prepare-sample", "--data-path", str(tmp_path / "in"), "--output-path", str(tmp_path / "out"), "--target-size", "9", "--seed", "7"]) == 0
+    got = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
+    assert sorted(r.winner for r in got) == ["model_a"] * 3 + ["model_b"] * 3 + ["tie"] * 3 and "n_distinct" in capsys.readouterr().out

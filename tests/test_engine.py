@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from judgeloom.functions import conversation as C
 from judgeloom.functions import labels as L
 from judgeloom.functions import uncertainty as U
-from judgeloom.functions.text import stable_hash, stable_hash_column, strip
+from judgeloom.functions.text import digest_column, payload_digest, strip
 from judgeloom.operators import prompts as P
 from judgeloom.operators.consistency import consistency
 from judgeloom.operators.sampling import stratified_sample
@@ -55,8 +55,8 @@ def test_consistency(spark):
 
 def test_hashes(spark):
     for payload, want in (({"example_id": "demo-q1", "seed": 0}, "b1db7b304cc9923e"), ({"prompt": "é😀\x7f"}, "6550029b23d206d9")):
-        assert stable_hash(payload) == want
-    assert one(spark, h=stable_hash_column({"seed": F.lit(0), "example_id": F.lit("q1")})).h == "5de6bf7b4493a18e"
+        assert payload_digest(payload) == want
+    assert one(spark, h=digest_column({"seed": F.lit(0), "example_id": F.lit("q1")})).h == "5de6bf7b4493a18e"
     assert one(spark, s=strip(F.lit("\x1c\u2003 a b\x85\n"))).s == "a b"
 
 
@@ -141,17 +141,64 @@ def load_judge():
 
 def test_experiments(spark, csv, tmp_path):
     got = run_experiment(spark, csv, str(tmp_path / "p"), "position", load_judge, consistency_runs=2)
-    assert (got["num_pairs_loaded"], got["num_pairs_usable"], got["num_position_flips"], got["position_flip_rate"]) == (3, 3, 3, 1.0)
+    assert (got["total_pairs_loaded"], got["usable_pairs_for_flip"], got["flip_count"], got["flip_rate"]) == (3, 3, 3, 1.0)
     records = spark.read.json(str(tmp_path / "p" / "run_records")).collect()
     assert len(records) == 6 and all(r.uncertainty.consistency.run_count == 2 and r.metadata.underlying_response_id for r in records)
     got = run_experiment(spark, csv, str(tmp_path / "a"), "authority", load_judge, consistency_runs=1)
-    assert got["num_pairs_evaluated"] == 2 and got["authority_congruent_cue_follow_rate"] == 1.0 and got["authority_incongruent_shift_rate"] == 0.5
+    assert got["total_pairs_evaluated"] == 2 and got["authority_congruent_cue_follow_rate"] == 1.0 and got["authority_incongruent_shift_rate"] == 0.5
     lines = [json.loads(x) for p in (tmp_path / "a" / "pair_summary").glob("*.json") for x in p.read_text().splitlines()]
     assert len(lines) == 2 and all("authority_congruent_delta_entropy" in x for x in lines)
     with pytest.raises(ValueError):
         run_experiment(spark, csv, str(tmp_path / "n"), "position", load_judge, consistency_runs=0)
 
 
+def test_answers_in_part(spark):
+    from judgeloom.operators.judge import with_verdicts
+
+    rows = spark.createDataFrame([(1, "?", 3.0, 1.0, None), (2, "tie", None, None, None), (3, "?", 0.0, 0.5, 0.5)], "k int, raw_text string, p_a double, p_b double, p_tie double")
+    got = {r.k: tuple(r)[2:] for r in with_verdicts(rows).collect()}
+    assert got == {1: (0.75, 0.25, 0.0, "A"), 2: (0.0, 0.0, 1.0, "tie"), 3: (0.0, 0.5, 0.5, "B")}
+    with pytest.raises(Exception, match="no mass"):
+        with_verdicts(spark.createDataFrame([(1, "A", 0.0, 0.0, 0.0)], rows.schema)).collect()
+
+
+def test_folder_of_csv_files(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text(CSV)
+    got = load_pairs(spark, str(tmp_path)).collect()
+    assert sorted(r.pair_id for r in got) == ["q1:turn-1"] * 4 + ["row-3"] * 2 and len({r.source_row_index for r in got}) == 6
+
+
+def test_faults(spark):
+    from judgeloom.schemas import checked, fault
+
+    entry = {"A": ("A", "x")}
+    rows = spark.createDataFrame([("1", entry, "A"), ("2", {}, "A"), ("3", entry, "x"), (None, entry, None)], "example_id string, candidates map<string, struct<label: string, response: string>>, human_winner string")
+    assert {r[0]: r[1] for r in rows.select("example_id", fault(rows)).collect()} == {"1": None, "2": "candidates must not be empty", "3": "human_winner: unknown value x", None: "example_id is missing"}
+    assert checked(rows.filter("example_id = '1'")).count() == 1
+    with pytest.raises(Exception, match="unknown value x"):
+        checked(rows.filter("example_id = '3'")).collect()
+
+
+def test_public_names():
+    import judgeloom
+
+    assert all(getattr(judgeloom, name) is not None for name in judgeloom.__all__) and "record_id" in judgeloom.RUN_RECORD.fieldNames()
+    with pytest.raises(AttributeError):
+        judgeloom.nothing
+
+
+def test_written_object(spark, tmp_path):
+    from judgeloom.operators.sinks import write_jsonl, write_object, write_summary
+
+    write_object(spark, {"b": "é", "a": None}, str(tmp_path / "deep" / "x.json"))
+    assert (tmp_path / "deep" / "x.json").read_text() == '{\n  "b": "\\u00e9",\n  "a": null\n}'
+    assert write_summary(spark.sql("SELECT 1 AS n, null AS rate"), str(tmp_path / "s.json")) == json.loads((tmp_path / "s.json").read_text()) == {"n": 1, "rate": None}
+    write_jsonl(spark.sql("SELECT 'é😀' AS t, cast(null AS int) AS n"), str(tmp_path / "lines"))
+    text = "".join(p.read_text() for p in (tmp_path / "lines").glob("*.json"))
+    assert text.isascii() and json.loads(text) == {"t": "é😀", "n": None}
+
+
 def test_sample(spark):
     rows = spark.range(100).select(F.col("id"), F.when(F.col("id") < 90, "a").otherwise("b").alias("s"))
     got = stratified_sample(rows, "s", "id", 11, seed=1)
