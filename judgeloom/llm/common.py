@@ -125,8 +125,9 @@ def text_offsets(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
 
 
-#: Words end at ASCII white space only; bytes stay as they are.
-SPACE_WORDS = np.arange(256, dtype=np.uint8)
+#: Words end at ASCII white space only; bytes stay as they are, and NUL is a byte of words, hashed as 256.
+SPACE_WORDS = np.arange(256, dtype=np.uint16)
+SPACE_WORDS[0] = 256
 SPACE_WORDS[[0x20, *range(0x09, 0x0E)]] = 0
 #: The same, A-Z as a-z.
 LOWER_WORDS = SPACE_WORDS.copy()
@@ -159,8 +160,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def hash_words(column: pa.Array, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word of a column of texts, and the bounds of each text's words.
+def hash_words(column: pa.Array, lut: np.ndarray, tails: bool = False) -> tuple[np.ndarray, ...]:
+    """A 64-bit hash of every word of a column of texts, and the bounds of each text's words; with ``tails`` also the last bytes.
+
+    The last three bytes of a word, the first one repeated in a shorter word, are one number.
 
     ``lut`` maps a byte to 0 (ends a word) or to the byte that is hashed. Nulls have no words. Equal words have equal
     hashes in every process; a hash is only ever a hint or a feature, never the proof that two words are equal.
@@ -168,7 +171,7 @@ def hash_words(column: pa.Array, lut: np.ndarray) -> tuple[np.ndarray, np.ndarra
     offsets = text_offsets(column)
     n = int(offsets[-1] - offsets[0])
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64), *([np.zeros(0, np.uint64)] * tails))
     data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     value = lut[data]
@@ -184,7 +187,11 @@ def hash_words(column: pa.Array, lut: np.ndarray) -> tuple[np.ndarray, np.ndarra
     up, down = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(value.astype(np.uint64) * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, offsets)
+    found = mix((sums[ends] - sums[starts]) * down[starts]), np.searchsorted(starts, offsets)
+    if not tails:
+        return found
+    last = [value[np.maximum(ends - k, starts)].astype(np.uint64) for k in (1, 2, 3)]
+    return *found, last[0] + (last[1] << np.uint64(9)) + (last[2] << np.uint64(18))
 
 
 def worker_threads() -> None:

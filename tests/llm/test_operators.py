@@ -523,32 +523,76 @@ def test_toxicity(spark, docs, none):
 
 
 def test_pseudo_likelihood(spark, docs, none):
+    from dataclasses import replace
+    from math import exp, log
+
     text = "the cat sat on the mat and the dog sat on the log " * 40
-    d = spark.createDataFrame([(k, text) for k in range(40)], "doc_id long, text string")
-    begun, model = pseudo_likelihood.start(d), pseudo_likelihood.train(d)
-    before, after = (pseudo_likelihood.score(d, m).first().mean_logprob for m in (begun, model))
-    assert after > before + 0.05
+    d = spark.createDataFrame([(k, f"{text} rare{k}") for k in range(40)], "doc_id long, text string")
+    model = pseudo_likelihood.train(d)
+    blind = replace(model, network=replace(model.network, embed=0 * model.network.embed))
+    before, after = (pseudo_likelihood.score(d, m).first().mean_logprob for m in (blind, model))
+    assert after > before + 0.3  # the window tells much of a word
     got = {r.doc_id: r for r in pseudo_likelihood.score(docs, model).collect()}
     assert got[1].n_tokens == 0 and got[1].mean_logprob is None and got[2].sum_logprob == 0 and got[4].n_tokens == 30_000
     # The same sum, word by word.
-    words = "the dog sat".split()
-    from judgeloom.llm.common import ALNUM_WORDS, hash_words
+    words = "the dog sat rare7 never".split()
+    net, counts = model.network, {"the": 160 * 40, "dog": 40 * 40, "sat": 80 * 40, "rare7": 1, "never": 0.5}
     import pyarrow as pa
 
-    h, bounds = hash_words(pa.array([" ".join(words)]), ALNUM_WORDS)
-    ids = model.numbers(h).tolist()
-    edge, total = pseudo_likelihood.CLASSES * pseudo_likelihood.MEMBERS, 0.0
-    for i, x in enumerate(ids):
-        around = [ids[j] if 0 <= j < 3 else edge for j in (i - 2, i - 1, i + 1, i + 2)]
-        v = np.tanh(sum(model.embed[c] * model.place[k] for k, c in enumerate(around)))
-        c, m = divmod(x, pseudo_likelihood.MEMBERS)
-        z, y = model.top @ v + model.top_bias, model.low[c] @ v + model.low_bias[c]
-        total += z[c] - np.log(np.exp(z).sum()) + y[m] - np.log(np.exp(y).sum())
+    _, _, cls, _, context = net.read(pa.array([" ".join(words)]))
+    assert [tuple(c) for c in context[:2]] == [(pseudo_likelihood.EDGE, pseudo_likelihood.EDGE, context[0][2], context[0][3]), (pseudo_likelihood.EDGE, context[2][0], context[0][3], context[1][3])]
+    total = 0.0
+    for k, w in enumerate(words):
+        v = np.tanh(sum(net.embed[c] * net.place[j] for j, c in enumerate(context[k])))
+        z = (net.top @ v + net.bias).tolist()
+        total += z[cls[k]] - log(sum(map(exp, z))) + log(counts[w]) - net.log_class[cls[k]]
     one = pseudo_likelihood.score(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), model).first()
     assert one.sum_logprob == pytest.approx(total, rel=1e-4)
     assert pseudo_likelihood.score(none, pseudo_likelihood.train(none)).count() == 0
 
 
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(2)
+    P = pseudo_likelihood
+    f = lambda *s: rng.normal(0, 0.3, s)
+    net = P.WindowNetwork(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), f(P.EDGE + 1, P.DIM), f(2 * P.SIDE, P.DIM), f(P.CLASSES, P.DIM), f(P.CLASSES), np.zeros(P.CLASSES))
+    context, cls = rng.integers(0, 5, (40, 2 * P.SIDE)), rng.integers(0, P.CLASSES, 40)
+    g = P.Sums()
+    net.gradient(cls, context, g)
+    assert g.loss == pytest.approx(-net.class_logs(cls, context).sum())
+    embed = (g.embed * net.place[:, None, :]).sum(0)
+    for part, grad, at in (("top", g.top, (3, 4)), ("embed", embed, (2, 5)), ("place", g.place, (1, 6)), ("bias", g.top[:, -1], (7,))):
+        before = getattr(net, part)[at]
+        loss = []
+        for e in (1e-5, -1e-5):
+            getattr(net, part)[at] = before + e
+            loss.append(-net.class_logs(cls, context).sum())
+        getattr(net, part)[at] = before
+        assert grad[at] == pytest.approx((loss[0] - loss[1]) / 2e-5, rel=1e-4, abs=1e-6)
+
+
+def test_model_does_not_depend_on_partitions(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    one, many = ({r.doc_id: r.sum_logprob for r in pseudo_likelihood.score(d, pseudo_likelihood.train(d.repartition(n, "doc_id"))).collect()} for n in (1, 16))
+    assert all(one[k] == pytest.approx(many[k], rel=1e-5, abs=1e-3) for k in one) and len(one) == d.count()
+
+
+def test_every_word_has_its_own_probability(spark, monkeypatch):
+    """Counts beyond the table that workers hold are joined: the same scores with a table of any size."""
+    rows_ = [(k, " ".join(f"w{j * j % (7 + k)}" for j in range(30 + k)) + " once" * (k == 3)) for k in range(40)]
+    d = spark.createDataFrame(rows_, "doc_id long, text string")
+    model = pseudo_likelihood.train(d)
+    want = {r.doc_id: r.sum_logprob for r in pseudo_likelihood.score(d, model).collect()}
+    few = pseudo_likelihood.commonest(model.counts, 5)
+    assert len(few) <= 5 and [n for _, n in few] == sorted((n for _, n in few), reverse=True)
+    from dataclasses import replace
+
+    net = model.network
+    keep = np.isin(net.hashes.view(np.int64), [w for w, _ in few]) | (net.rank < pseudo_likelihood.KNOWN)
+    blind = replace(model, network=replace(net, log_n=np.where(np.isin(net.hashes.view(np.int64), [w for w, _ in few]), net.log_n, np.nan)))
+    assert keep.all() and {r.doc_id: r.sum_logprob for r in pseudo_likelihood.score(d, blind).collect()} == pytest.approx(want)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as pipeline
 
