@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _own_dir: list[str] = []
+_swept: set[str] = set()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,17 +25,39 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a folder of this process where that is unset (tests, one machine)."""
+    """The folder of ``spark.checkpoint.dir``; a folder of this process where that is unset and all runs on one machine.
+
+    On a cluster it must be set: executors would write to their own disks, and the driver would read a part of the rows.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="judgeloom-"))
     return f"file://{_own_dir[0]}"
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Where this application's tables and files go. They are removed when the driver's process ends, or by ``clear``."""
+    own = spark.sparkContext.applicationId
+    if own not in _swept:
+        _swept.add(own)
+        atexit.register(clear, spark)
+    return f"{shared_dir(spark)}/judgeloom/{own}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that this application has written to the shared folder; results that are still to be read need it."""
+    context = spark.sparkContext
+    if context._jsc is not None:  # not stopped yet
+        place = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/judgeloom/{context.applicationId}")
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/judgeloom/{label}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -118,6 +142,38 @@ def unpacked_texts(column: pa.Array) -> Iterator[bytes | None]:
         yield None if x is None else unpack(x)
 
 
+#: Tasks that add up what the tasks over a table have summed; one adds up theirs.
+ADDERS = 16
+
+
+def summed(rows: DataFrame, of_task: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray | None:
+    """The sum over all tasks of the one array of doubles that each makes of its rows, or None where none makes any.
+
+    Arrays travel packed and are added up in two steps on the executors: the driver receives one, whatever the table's size.
+    """
+
+    def packed(total: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([zstandard.ZstdCompressor(level=1).compress(total.astype("<f8").tobytes())], pa.binary())], ["part"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_threads()
+        total = of_task(batches)
+        if total is not None:
+            yield packed(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                part = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<f8")
+                total = part.copy() if total is None else total + part
+        if total is not None:
+            yield packed(total)
+
+    got = rows.mapInArrow(first, "part binary").repartition(ADDERS).mapInArrow(add, "part binary").coalesce(1).mapInArrow(add, "part binary").collect()
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(got[0].part), "<f8") if got else None
+
+
 def text_offsets(column: pa.Array) -> np.ndarray:
     width = np.int64 if pa.types.is_large_string(column.type) else np.int32
     if not len(column):

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, hash_words, mix, read_table, slices, worker_threads, written
+from .common import ALNUM_WORDS, hash_words, mix, read_table, slices, summed, worker_threads, written
 
 #: Classes that the network tells apart: the commonest words one each, all others by how they end.
 SINGLE, SPELLED = 48, 48
@@ -28,8 +27,6 @@ TABLE = 1 << 17
 ROUNDS = 2
 RATE = 0.1
 STEP = 8192
-#: Tasks that add up what the tasks over the corpus have summed; one adds up theirs.
-ADDERS = 16
 _OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 
 
@@ -187,33 +184,6 @@ def commonest(counts: DataFrame, most: int = TABLE) -> list[tuple[int, int]]:
     return sorted(((r.word, r.n) for r in rows), key=lambda r: (-r[1], r[0]))
 
 
-def _summed(docs: DataFrame, of_task: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray | None:
-    """The sum of one array of doubles a task over all tasks, packed, added up in two steps on the executors."""
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_threads()
-        total = of_task(batches)
-        if total is not None:
-            yield _packed(total)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                part = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<f8")
-                total = part.copy() if total is None else total + part
-        if total is not None:
-            yield _packed(total)
-
-    tasks = docs.select("text").mapInArrow(first, "part binary")
-    rows = tasks.repartition(ADDERS).mapInArrow(add, "part binary").coalesce(1).mapInArrow(add, "part binary").collect()
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(rows[0].part), "<f8") if rows else None
-
-
-def _packed(total: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([zstandard.ZstdCompressor(level=1).compress(total.astype("<f8").tobytes())], pa.binary())], ["part"])
-
-
 _PAIRS = (2 * SIDE, EDGE + 1, CLASSES)
 
 
@@ -240,7 +210,7 @@ def start(docs: DataFrame) -> PseudoLikelihood:
                     total[k] += np.bincount(context[:, k] * CLASSES + cls, minlength=(EDGE + 1) * CLASSES).reshape(_PAIRS[1:])
         return None if total is None else total.ravel()
 
-    pairs = _summed(docs, count)
+    pairs = summed(docs.select("text"), count)
     return PseudoLikelihood(empty if pairs is None else _drawn(empty, pairs.reshape(_PAIRS)), counts)
 
 
@@ -275,7 +245,7 @@ def _round(docs: DataFrame, network: WindowNetwork, k: int, rounds: int, rate: f
             held.value.gradient(cls[turn], context[turn], g)
         return g.flat() if g.n else None
 
-    total = _summed(docs, add)
+    total = summed(docs.select("text"), add)
     return network if total is None else network.moved(Sums(total), rate)
 
 
