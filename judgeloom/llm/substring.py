@@ -19,7 +19,9 @@ ANCHOR = 8
 HOT = 2000
 #: Words of a reference block; a block ends with the anchor in hand, so it holds 4 times as many at most.
 BLOCK_WORDS = 200_000
-#: Factors of the parse end after this many words; the next begins where they end.
+#: Words of passages that a task receives, about; there are as many tasks as that takes.
+TASK_WORDS = 16_000_000
+#: Factors of the parse end after 2**(DEPTH + 1) - 1 words; the next begins where they end.
 DEPTH = 6
 
 _RUNS = "doc_id long, th long, anchor long, first int, windows int, n int"
@@ -256,13 +258,14 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     texts = docs.filter(F.length("text") > 0).select("doc_id", row_key().alias("th"), "text")
     runs = written(texts.mapInArrow(_find_runs(window, anchor), _RUNS), "runs")
     often = runs.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("passages"), F.sum(F.col("windows").cast("long") + (window - 1)).alias("size")).filter("total > 1")
-    often = often.select("anchor", ((F.col("passages") > hot) | (F.col("size") > 3 * block_words)).alias("hot"))
-    wanted = runs.join(often, "anchor").groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "windows", "anchor", "hot")).alias("runs"))
+    often = written(often.select("anchor", "size", ((F.col("passages") > hot) | (F.col("size") > 3 * block_words)).alias("hot")), "anchors")
+    size = often.agg(F.sum("size")).first()[0] or 0
+    wanted = runs.join(often.drop("size"), "anchor").groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "windows", "anchor", "hot")).alias("runs"))
     w = wanted.withColumnsRenamed({"doc_id": "_jl_id", "th": "_jl_th"})
     packed = packed_text(texts)
     sent = packed.join(w, packed.doc_id.eqNullSafe(w["_jl_id"]) & (packed.th == w["_jl_th"])).select("doc_id", "th", "text", "runs")
     passages = sent.mapInArrow(_passages(window), _PARTS)
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // TASK_WORDS), 1)
     found = passages.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_parse_blocks(window, block_words), "doc_id long, th long, first int, last int")
     return found.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
 
@@ -324,4 +327,5 @@ def cut(docs: DataFrame, **options) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every document; nulls, copies and repeated rows as in ``removal``."""
     return removal(read_table(spark, sf_dir, "documents"))
