@@ -174,11 +174,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def known_only(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language the model of its own learning rows accepts."""
+    """The rows of ``docs`` whose language the model of its own learning rows accepts, all columns as they are.
+
+    Null and letterless texts go. Repeated rows, and rows with a null id, lang or source, are judged by their text alone.
+    Without any row to learn from no row stays; no rows give no rows.
+    """
     return predict(docs, fit(docs, ~held_out()), keep_columns=True)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, rejected) of every document; nulls, ties and repeated rows as in ``predict``."""
     docs = read_table(spark, sf_dir, "documents")
     found = predict(docs, fit(docs, ~held_out()))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,15 +70,16 @@ class Archive:
         return f"{VERSION}\r\nWARC-Warcinfo-ID: {self.info_id}\r\n"
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> Archive:
+def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str | None = None) -> Archive:
     """One WARC record for every row of (page_id, url, html), written by Spark's committed file writer to ``path``.
 
     A first payload is a response record with its HTTP head; a later one is a revisit record without a body, which names
-    the response by record id and target. Each record has fresh headers: its own id, ``date``, digest and lengths in
-    bytes. A null html is an empty payload; a null url becomes ``urn:page:`` and the id. Rows that repeat a page_id, url
+    the response by record id and target. Each record has fresh headers: its own id, ``date`` (the time of this call where
+    none is given), digest and lengths in bytes. A null html is an empty payload; a null url becomes ``urn:page:`` and the id. Rows that repeat a page_id, url
     and html have the same record id. Other columns are ignored. No rows make an archive of a warcinfo record alone.
     """
     archive = Archive(path, f"<urn:uuid:{uuid.uuid4()}>")
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     body = F.coalesce(F.col("html"), F.lit(""))
     payload = body.cast("binary")
     # Digests are taken once; the payloads meet them again by a cheap hash beside the id and the url.
@@ -159,6 +161,7 @@ def digests(records: DataFrame) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archive of all of ``pages`` holds, read back: one row a page; nulls, ties and repeated rows as in ``resolve``."""
     archive = write_archive(read_table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
     return digests(read_archive(spark, archive))
 
