@@ -55,6 +55,19 @@ def occurrences(column: pa.Array, words: np.ndarray) -> tuple[np.ndarray, np.nda
     return pair // len(words), pair % len(words)
 
 
+def step_of(p: np.ndarray, u: np.ndarray, w: np.ndarray, b: float, prior: float) -> np.ndarray:
+    """The gradient, by the weights and last the bias, of the risk of ``nnpu``; of its second part taken negative where that is below zero."""
+    narrow = w.astype(p.dtype)  # matrices keep their type: no copy for each product
+    fp, fu = p @ narrow + b, u @ narrow + b
+    sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
+    negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    gp = (sp - 1) * prior / len(p)  # of the positives taken as positive
+    gn, gu = -prior * sp / len(p), su / len(u)  # of the corrected negative part
+    if negative < 0:
+        gp, gn, gu = np.zeros_like(gp), -gn, -gu
+    return np.append((gp + gn).astype(p.dtype) @ p + gu.astype(p.dtype) @ u, (gp + gn).sum() + gu.sum())
+
+
 def nnpu(p: np.ndarray, u: np.ndarray, prior: float, seed: int, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """A linear classifier of least non-negative positive-unlabelled risk under the logistic loss.
 
@@ -66,15 +79,7 @@ def nnpu(p: np.ndarray, u: np.ndarray, prior: float, seed: int, rounds: int = 40
     w, b = rng.normal(0, 0.01, p.shape[1]), np.log(prior / (1 - prior))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
-        narrow = w.astype(p.dtype)  # matrices keep their type: no copy for each product
-        fp, fu = p @ narrow + b, u @ narrow + b
-        sp, su = 1 / (1 + np.exp(-fp)), 1 / (1 + np.exp(-fu))
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        gp = (sp - 1) * prior / len(p)  # of the positives taken as positive
-        gn, gu = -prior * sp / len(p), su / len(u)  # of the corrected negative part
-        if negative < 0:
-            gp, gn, gu = np.zeros_like(gp), -gn, -gu
-        g = np.append((gp + gn).astype(p.dtype) @ p + gu.astype(p.dtype) @ u + decay * w / 100, (gp + gn).sum() + gu.sum())
+        g = step_of(p, u, w, b, prior) + np.append(decay * w / 100, 0.0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]

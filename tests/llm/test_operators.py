@@ -551,6 +551,77 @@ def test_pseudo_likelihood(spark, docs, none):
     assert pseudo_likelihood.score(none, pseudo_likelihood.train(none)).count() == 0
 
 
+def brute_risk(p, u, w, b, prior):
+    """pi E_p[l(f)] + max(0, E_u[l(-f)] - pi E_p[l(-f)]), row by row; and the second part as it is."""
+    from math import exp, log
+
+    loss = lambda x: log(1 + exp(-x))
+    f = lambda x: sum(a * c for a, c in zip(x, w)) + b
+    mean = lambda v: sum(v) / len(v)
+    negative = mean([loss(-f(x)) for x in u]) - prior * mean([loss(-f(x)) for x in p])
+    return prior * mean([loss(f(x)) for x in p]) + max(0, negative), negative
+
+
+def test_positive_unlabelled_gradient():
+    rng = np.random.default_rng(6)
+    p, u = rng.integers(0, 2, (9, 4)).astype(float), rng.integers(0, 2, (30, 4)).astype(float)
+    for b in (0.2, -6.0, 4.0):
+        w = rng.normal(0, 1, 4)
+        g, prior = toxicity.step_of(p, u, w, b, 0.6), 0.6
+        below = brute_risk(p, u, w, b, prior)[1] < 0
+        part = lambda w, b: -brute_risk(p, u, w, b, prior)[1] if below else brute_risk(p, u, w, b, prior)[0]  # noqa: B023, E731
+        for k in range(5):
+            e = np.eye(5)[k] * 1e-6
+            assert g[k] == pytest.approx((part(w + e[:4], b + e[4]) - part(w - e[:4], b - e[4])) / 2e-6, rel=1e-4, abs=1e-7)
+
+
+def test_risk_over_all_rows_never_rises(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"t{j}" for j in np.flatnonzero(rng.random(6) < (0.7 if k % 4 == 0 else 0.2))) or "none" for k in range(300)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    import pyarrow as pa
+    from judgeloom.llm.common import ALNUM_WORDS, hash_words
+
+    words = np.sort(np.concatenate([hash_words(pa.array([f"t{j}"]), ALNUM_WORDS)[0] for j in range(6)]))
+    u = np.zeros((300, 6))
+    for k, t in enumerate(texts):
+        _, at = toxicity.occurrences(pa.array([t]), words)
+        u[k, at] = 1
+    p = u[::8].astype(np.float32)
+    w, b = rng.normal(0, 1, (3, 6)), rng.normal(0, 1, 3)
+    after_w, after_b = toxicity._settled(d, {}, words, p, 0.25, w, b)
+    before, after = ([brute_risk(p, u, x, y, 0.25)[0] for x, y in zip(*m)] for m in ((w, b), (after_w, after_b)))
+    assert all(x <= y + 1e-9 for x, y in zip(after, before)) and min(x - y for x, y in zip(after, before)) < -0.01
+
+
+def brute_language(model, text):
+    """(language, similarity, whether it is rejected) by plain sums over trigrams of letters."""
+    if not text or not any(map(str.isalpha, text)):
+        return "und", 0.0, True
+    letters = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0 for b in text.encode()]
+    padded, counts = [0, *letters, 0], Counter()
+    for x, y, z in zip(padded, padded[1:], padded[2:]):
+        if y:
+            counts[(x * 0x9E3779B1 + y * 0x85EBCA6B + z * 0xC2B2AE35) % (1 << 32) >> 20] += 1
+    v = {k: float(np.log1p(n)) * float(model.idf[k]) for k, n in counts.items()}
+    size = sum(x * x for x in v.values()) ** 0.5
+    near = [sum(x * float(c[k]) for k, x in v.items()) / size for c in model.centroids]
+    best = max(range(len(near)), key=lambda k: near[k])
+    return model.languages[model.owner[best]], near[best], near[best] < model.floor[model.owner[best]]
+
+
+def test_nearest_centroid_equals_brute_force(spark, sf, docs):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(docs.select(F.col("doc_id") + 10_000, "text"))
+    model = language.fit(spark.read.parquet(f"{sf}/documents.parquet"), ~language.held_out())
+    texts = {(r.doc_id, r.text) for r in d.collect()}
+    got = language.predict(d, model).collect()
+    by_id = defaultdict(list)
+    for i, t in texts:
+        by_id[i].append(brute_language(model, t))
+    for r in got:
+        assert any(r.lang_pred == x[0] and r.score == pytest.approx(x[1], abs=1e-4) and (r.rejected == x[2] or abs(x[1] - model.floor.min()) < 1e-4) for x in by_id[r.doc_id]), r
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(2)
     P = pseudo_likelihood
@@ -593,19 +664,97 @@ def test_every_word_has_its_own_probability(spark, monkeypatch):
     assert keep.all() and {r.doc_id: r.sum_logprob for r in pseudo_likelihood.score(d, blind).collect()} == pytest.approx(want)
 
 
-def test_pipeline(spark, sf):
+def pipeline_rows(spark, sf):
+    """The smallest table, and planted rows: odd ones, near copies, shared passages, benchmark passages."""
+    rng = np.random.default_rng(12)
+    found = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    english = [r for r in found if r[2] == "en" and len(r[1].split()) > 200][:6]
+    out = list(found)
+    add = lambda text, lang="en", source="s", i=None: out.append((10_000 + len(out) if i is None else i, text, lang, source, len(text or "")))
+    for t in (None, "", " \n ", "1234 56", "%%%"):
+        add(t)
+    add(found[0][1], None, None)
+    out.append(found[3])  # a repeated row
+    for k, r in enumerate(english):
+        words = r[1].split()
+        for at in rng.integers(0, len(words), 1 + k).tolist():
+            words[at] = "changed"
+        add(" ".join(words))
+    passage = " ".join(english[0][1].split()[:60])[::-1]
+    add(f"{passage} and the end")
+    add(f"so it begins {passage}")
+    add(" ".join(bench[0][1].split()[:40]))
+    return out, bench
+
+
+def test_pipeline_equals_brute_force(spark, sf, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rows_, bench = pipeline_rows(spark, sf)
+    d = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(bench, "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    model = language.fit(d, ~language.held_out())
+    left = [r for r in rows_ if not brute_language(model, r[1])[2]]
+    assert {r[0] for r in rows_} > {r[0] for r in left}
+
+    root = brute_near_copies([(r[0], r[1]) for r in left])
+    first = defaultdict(list)
+    for g, r in zip(root, left):
+        first[g].append(r)
+    keys = {(min(r[0] for r in g), next(r[1] for r in sorted(g, key=lambda r: r[0]))) for g in first.values()}
+    left = [r for r in left if (r[0], r[1]) in keys]
+
+    cut = []
+    seen = Counter(tuple(w[j : j + 35]) for r in left for w in [r[1].encode().split()] for j in range(len(w) - 34))
+    for r in left:
+        w = r[1].encode().split()
+        gone = {q for j in range(len(w) - 34) if seen[tuple(w[j : j + 35])] > 1 for q in range(j, j + 35)}
+        cut.append((r[0], b" ".join(x for q, x in enumerate(w) if q not in gone).decode() if gone else r[1], r[3]))
+    assert any(a[1] != b[1] for a, b in zip(cut, left))
+
+    dirty = [x[-1] for x in brute_hits([(k, r[1]) for k, r in enumerate(cut)], bench)]
+    order = [x[0] for x in brute_hits([(k, r[1]) for k, r in enumerate(cut)], bench)]
+    clean = [cut[k] for k, bad in zip(order, dirty) if not bad]
+    assert len(clean) < len(cut)
+    want = Counter()
+    for i, t, _ in clean:
+        n = len(t.split()) if t.isascii() else len(t.encode().split())
+        want[i] += n + 1 if n else 0
+
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    length = Counter()
+    for r in got:
+        length[r.doc_id] += r.length
+    assert length == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.bin_id].append(r)
+    for name, b in bins.items():
+        places = sorted((r.bin_offset, r.bin_offset + r.length) for r in b if name)
+        assert all(x[1] <= y[0] for x, y in zip(places, places[1:])) and (not places or places[-1][1] <= packing.CAPACITY)
+        assert name is None or len({r.source for r in b}) == len(b)
+
+
+def test_pipeline_stages_on_odd_tables(spark, docs, none, sf):
+    """Nulls in every column, empty and long texts, repeated rows, columns with clashing names, and empty tables."""
     import corpus_pipeline as pipeline
 
-    assert len(pipeline.STAGES) == 5
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    ids, texts = {r.doc_id for r in docs.collect()}, {r.doc_id: r.text for r in docs.collect()}
-    kept = {r.doc_id for r in pipeline.near_duplicates(spark, docs, sf).collect()}
-    assert kept == {r.component_id for r in simhash.near_duplicates(docs).collect()}
-    cut = pipeline.repeated_passages(spark, docs, sf)
-    assert cut.columns == docs.columns and all(len(r.text) == r.n_chars for r in cut.collect())
-    assert sorted((r.doc_id, len(r.text.split())) for r in cut.select("doc_id", "text").collect() if r.text) is not None
-    got = pipeline.run(spark, sf).collect()
-    assert {r.doc_id for r in got} <= ids and len(got) > 100 and texts
+    assert [name for name, _ in pipeline.STAGES] == ["language", "near_duplicates", "substrings", "decontamination", "packing"]
+    known = pipeline.identify(spark, docs, sf)
+    # ROWS are too few languages' worth to reject by distance; what has no letter goes.
+    assert known.columns == docs.columns and {r.doc_id for r in known.collect()} <= {4, 5, 6, 7, 8, 9, 10, None} and all(r.text for r in known.collect())
+    near = pipeline.near_duplicates(spark, docs, sf)
+    assert near.columns == docs.columns and rows(near, "doc_id") == [(1,), (10,), (4,), (5,), (7,), (9,)]
+    cut = {r.doc_id: r for r in pipeline.repeated_passages(spark, docs, sf).collect()}
+    assert (cut[5].text, cut[5].n_chars, cut[1].text, cut[1].n_chars, cut[9].text) == ("before after", 12, None, None, "")
+    clean = pipeline.contaminated(spark, docs, sf)
+    assert clean.columns == docs.columns and clean.count() == len(ROWS)
+    packed = pipeline.pack(spark, docs, sf).collect()
+    assert len({(r.bin_id, r.bin_offset) for r in packed if r.bin_id}) == sum(bool(r.bin_id) for r in packed) and sum(r.bin_id is None for r in packed) == 4
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0
 
 
 def test_registry():
