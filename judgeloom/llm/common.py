@@ -67,6 +67,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kind_of(rows: DataFrame, column: str = "doc_id") -> str:
+    """The type of a column as schema text: ids are of whatever type the table has."""
+    return rows.schema[column].dataType.simpleString()
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

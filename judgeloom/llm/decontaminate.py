@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, read_table, row_key, slices, text_offsets, written
+from .common import ALNUM_WORDS, kind_of, read_table, row_key, slices, text_offsets, written
 
 WINDOW = 13
 #: Bytes of benchmark text that a worker holds at once. A larger benchmark is searched block by block, a pass each.
@@ -240,7 +240,7 @@ def _searched(docs: DataFrame, part: DataFrame, window: int, with_matches: bool)
             columns = [pa.array(n_words, pa.int64()), pa.array(spans, _SPAN), pa.array(items, pa.list_(pa.string())), pa.array(matches, _MATCH)]
             yield pa.record_batch([batch.column(0), batch.column(1), *columns], ["doc_id", "th", "n_words", "spans", "items", "matches"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, {_FOUND}")
+    return docs.mapInArrow(run, f"doc_id {kind_of(docs)}, th long, {_FOUND}")
 
 
 def _covered(spans: str) -> Column:

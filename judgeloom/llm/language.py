@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, read_table, sampled, slices, text_offsets, worker_threads
+from .common import fold, kind_of, read_table, sampled, slices, text_offsets, worker_threads
 
 #: Buckets that byte trigrams are hashed to.
 BUCKETS = 4096
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep_columns: bool = False) -
 
     if keep_columns:
         return docs.mapInArrow(run, docs.schema)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of(docs)}, lang_pred string, score double, rejected boolean")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, slices, written
+from .common import kind_of, read_table, slices, written
 
 CAPACITY = 2048
 #: Pieces that are packed together, about; a group of them is one task's state.
@@ -95,11 +95,7 @@ def measured(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), n, cluster, batch.column(3)], ["doc_id", "source", "n", "cluster", "row"])
 
     rows = docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("row"))
-    return written(rows.mapInArrow(run, f"doc_id {_type(docs, 'doc_id')}, source {_type(docs, 'source')}, n long, cluster binary, row long"), "measured")
-
-
-def _type(df: DataFrame, column: str) -> str:
-    return df.schema[column].dataType.simpleString()
+    return written(rows.mapInArrow(run, f"doc_id {kind_of(docs)}, source {kind_of(docs, 'source')}, n long, cluster binary, row long"), "measured")
 
 
 def pack_texts(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
@@ -131,7 +127,7 @@ def pack_texts(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) ->
         table = table.add_column(4, "bin_id", pa.array(bins, pa.string()))
         return table.add_column(5, "bin_offset", pa.array([at for _, at in places], pa.int32()))
 
-    small = dealt.groupBy("g").applyInArrow(run, f"doc_id {_type(rows, 'doc_id')}, piece int, start long, length int, bin_id string, bin_offset int, source {_type(rows, 'source')}")
+    small = dealt.groupBy("g").applyInArrow(run, f"doc_id {kind_of(rows)}, piece int, start long, length int, bin_id string, bin_offset int, source {kind_of(rows, 'source')}")
     return small.unionByName(whole).unionByName(none)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, hash_words, mix, read_table, slices, summed, worker_threads, written
+from .common import ALNUM_WORDS, hash_words, kind_of, mix, read_table, slices, summed, worker_threads, written
 
 #: Classes that the network tells apart: the commonest words one each, all others by how they end.
 SINGLE, SPELLED = 48, 48
@@ -287,7 +287,7 @@ def score(docs: DataFrame, model: PseudoLikelihood) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.diff(bounds), pa.int64()), pa.array(total[bounds[1:]] - total[bounds[:-1]], pa.float64()), words], ["doc_id", "row", "n_tokens", "known", "rare"])
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    rows = written(rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SCHEMA}"), "known-words")
+    rows = written(rows.mapInArrow(run, f"doc_id {kind_of(docs)}, {_SCHEMA}"), "known-words")
     words = rows.filter("size(rare) > 0").select("row", F.explode("rare").alias("word"))
     counts = model.counts.select(F.col("word").alias("_word"), "n")
     found = words.join(counts, F.col("word") == F.col("_word"), "left").groupBy(F.col("row").alias("_row")).agg(F.sum(F.log(F.coalesce("n", F.lit(0.5)))).alias("more"))

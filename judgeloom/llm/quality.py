@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, row_key, slices, written
+from .common import kind_of, read_table, row_key, slices, written
 
 #: Good documents rejected in a stratum by the cutoffs found: at most this share, but with a probability of DELTA at most.
 ALPHA = 0.05
@@ -68,7 +68,7 @@ def figures(docs: DataFrame) -> DataFrame:
             rows = [base_figures(t) for t in batch.column(3).to_pylist()]
             yield pa.record_batch([*batch.columns[:3], *(pa.array([r[k] for r in rows], pa.int64()) for k in range(5))], ["doc_id", "stratum", "th", *_STATS])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, stratum string, th long, " + ", ".join(f"{c} long" for c in _STATS)
+    schema = f"doc_id {kind_of(docs)}, stratum string, th long, " + ", ".join(f"{c} long" for c in _STATS)
     return docs.select("doc_id", F.coalesce("lang", F.lit("none")), row_key(), "text").mapInArrow(run, schema)
 
 

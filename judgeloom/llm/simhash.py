@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, row_key, slices, written
+from .common import kind_of, read_table, row_key, slices, written
 from .graph import components
 from .shingles import SIMILARITY, WORDS, near_copies
 
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             marks = [_fingerprint((t or "").encode(), words) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(np.array(marks, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of(docs)}, fp long")
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, hash_words, mix, packed_text, read_table, row_key, slices, unpacked_texts, written
+from .common import SPACE_WORDS, hash_words, kind_of, mix, packed_text, read_table, row_key, slices, unpacked_texts, written
 
 WINDOW = 35
 #: Words of an anchor: the passage whose hash is least among those of a window names the reference block it goes to.
@@ -24,8 +24,8 @@ TASK_WORDS = 16_000_000
 #: Factors of the parse end after 2**(DEPTH + 1) - 1 words; the next begins where they end.
 DEPTH = 6
 
-_RUNS = "doc_id long, th long, anchor long, first int, windows int, n int"
-_PARTS = "key long, doc_id long, th long, first int, last int, words string"
+_RUNS = "th long, anchor long, first int, windows int, n int"
+_PARTS = "th long, first int, last int, words string"
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -93,9 +93,9 @@ def _passages(window: int, most: int = 200_000):
         met: dict[bytes, list] = {}  # hot window: where it was first met, and whether it is settled
         out: list[tuple] = []
 
-        def flush() -> pa.RecordBatch:
+        def flush(kind: pa.DataType) -> pa.RecordBatch:
             columns = zip(*out) if out else [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
+            types = [pa.int64(), kind, pa.int64(), pa.int32(), pa.int32(), pa.string()]
             made = pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["key", "doc_id", "th", "first", "last", "words"])
             out.clear()
             return made
@@ -103,7 +103,9 @@ def _passages(window: int, most: int = 200_000):
         def settle(place: tuple) -> None:
             out.append((hash(place), *place, None))
 
+        kind = None
         for batch in batches:
+            kind = batch.schema.field(0).type
             doc_ids, ths, all_runs = (batch.column(k).to_pylist() for k in (0, 1, 3))
             for doc_id, th, text, runs in zip(doc_ids, ths, unpacked_texts(batch.column(2)), all_runs):
                 w = text.split()
@@ -127,8 +129,9 @@ def _passages(window: int, most: int = 200_000):
                     if len(met) > most:
                         met.clear()
                 if len(out) > 5000:
-                    yield flush()
-        yield flush()
+                    yield flush(kind)
+        if out:
+            yield flush(kind)
 
     return run
 
@@ -213,7 +216,7 @@ def _parse_blocks(window: int, block_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size, kind = 0, None
 
         def parse(rows: list[tuple]) -> pa.RecordBatch:
             found = [
@@ -225,10 +228,10 @@ def _parse_blocks(window: int, block_words: int):
 
         def spans_batch(found: list[tuple]) -> pa.RecordBatch:
             columns = zip(*found) if found else [[]] * 4
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()])], ["doc_id", "th", "first", "last"])
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [kind, pa.int64(), pa.int32(), pa.int32()])], ["doc_id", "th", "first", "last"])
 
         for batch in batches:
-            settled = []
+            settled, kind = [], batch.schema.field(1).type
             for key, doc_id, th, first, last, words in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if words is None:
                     settled.append((doc_id, th, first, last))
@@ -256,7 +259,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     if not 1 <= anchor <= window:
         raise ValueError("an anchor has 1 word at least and not more than a window")
     texts = docs.filter(F.length("text") > 0).select("doc_id", row_key().alias("th"), "text")
-    runs = written(texts.mapInArrow(_find_runs(window, anchor), _RUNS), "runs")
+    runs = written(texts.mapInArrow(_find_runs(window, anchor), f"doc_id {kind_of(docs)}, {_RUNS}"), "runs")
     often = runs.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("passages"), F.sum(F.col("windows").cast("long") + (window - 1)).alias("size")).filter("total > 1")
     often = written(often.select("anchor", "size", ((F.col("passages") > hot) | (F.col("size") > 3 * block_words)).alias("hot")), "anchors")
     size = often.agg(F.sum("size")).first()[0] or 0
@@ -264,9 +267,9 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     w = wanted.withColumnsRenamed({"doc_id": "_jl_id", "th": "_jl_th"})
     packed = packed_text(texts)
     sent = packed.join(w, packed.doc_id.eqNullSafe(w["_jl_id"]) & (packed.th == w["_jl_th"])).select("doc_id", "th", "text", "runs")
-    passages = sent.mapInArrow(_passages(window), _PARTS)
+    passages = sent.mapInArrow(_passages(window), f"key long, doc_id {kind_of(docs)}, {_PARTS}")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // TASK_WORDS), 1)
-    found = passages.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_parse_blocks(window, block_words), "doc_id long, th long, first int, last int")
+    found = passages.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_parse_blocks(window, block_words), f"doc_id {kind_of(docs)}, th long, first int, last int")
     return found.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
 
 
@@ -306,7 +309,7 @@ def removal(docs: DataFrame, **options) -> DataFrame:
             )
 
     found = _with_spans(docs.select("doc_id", "text"), **options).select("doc_id", "text", "_jl_spans")
-    return found.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return found.mapInArrow(run, f"doc_id {kind_of(docs)}, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut(docs: DataFrame, **options) -> DataFrame:

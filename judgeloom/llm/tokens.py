@@ -14,7 +14,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, packed_text, read_table, row_key, slices, text_offsets, unpacked_texts, worker_threads, written
+from .common import fresh_path, kind_of, packed_text, read_table, row_key, slices, text_offsets, unpacked_texts, worker_threads, written
 
 END_ID = 2
 SEQUENCE = 2048
@@ -181,9 +181,7 @@ class TokenFiles:
 
     manifest: DataFrame
     sequence: int
-
-
-_DOCS = pa.schema([("doc_id", pa.int64()), ("end", pa.int64())])
+    doc_kind: str = "bigint"
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, sequence: int = SEQUENCE) -> TokenFiles:
@@ -213,15 +211,18 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
         n_docs = at = 0
         fs.create_dir(folder, recursive=True)
         with fs.open_output_stream(temporary) as sink, fs.open_output_stream(f"{temporary}.docs") as doc_sink:
-            writer, places = ShardWriter(sink, sequence, coder.dtype), pa.ipc.new_stream(doc_sink, _DOCS)
+            writer, places = ShardWriter(sink, sequence, coder.dtype), None
             for batch in _unpacked(batches):
+                schema = pa.schema([("doc_id", batch.schema.field(0).type), ("end", pa.int64())])
+                places = places or pa.ipc.new_stream(doc_sink, schema)
                 ids, bounds = coder.encode(batch.column(1))
                 writer.add(np.insert(ids, bounds[1:], end_id))
                 ends = at + bounds[1:] + np.arange(1, len(bounds))
-                places.write_batch(pa.record_batch([batch.column(0), pa.array(ends, pa.int64())], schema=_DOCS))
+                places.write_batch(pa.record_batch([batch.column(0), pa.array(ends, pa.int64())], schema=schema))
                 n_docs, at = n_docs + batch.num_rows, int(ends[-1])
             writer.close()
-            places.close()
+            if places:
+                places.close()
         if not n_docs:
             fs.delete_file(temporary)
             fs.delete_file(f"{temporary}.docs")
@@ -237,7 +238,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     blocks = made.groupBy("block").agg(F.sum("n_tokens").alias("n")).select(F.col("block").alias("_block"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
-    return TokenFiles(made.join(blocks, F.col("block") == F.col("_block")).select("shard", "path", "n_tokens", "n_docs", first.alias("first")), sequence)
+    return TokenFiles(made.join(blocks, F.col("block") == F.col("_block")).select("shard", "path", "n_tokens", "n_docs", first.alias("first")), sequence, kind_of(docs))
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -327,7 +328,7 @@ def read_documents(files: TokenFiles) -> DataFrame:
 
     listed = files.manifest.select("path", "first")
     n = max(1, min(files.manifest.count(), 10 * files.manifest.sparkSession.sparkContext.defaultParallelism))
-    return listed.repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.repartition(n).mapInArrow(run, f"doc_id {files.doc_kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

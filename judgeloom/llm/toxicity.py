@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, fold, hash_words, read_table, row_key, sampled, slices, summed, worker_threads
+from .common import ALNUM_WORDS, fold, hash_words, kind_of, read_table, row_key, sampled, slices, summed, worker_threads
 
 #: The bounded sample of confirmed toxic rows that the classifiers are fitted on.
 POSITIVES = 4000
@@ -196,7 +196,7 @@ def _settled(docs: DataFrame, light: dict[int, float], words: np.ndarray, x: np.
         move = g / (parts[k, 1] + prior * (s[:, k] * (1 - s[:, k])) @ wide / len(x) + 1e-3)
         for j, step in enumerate(STEPS):
             tried_w[j, k], tried_b[j, k] = w[k] - step * move[:size], b[k] - step * move[size]
-    all_w, all_b = tried_w.reshape(-1, size), tried_b.ravel()
+    all_w, all_b = tried_w.reshape(len(STEPS) * n, size), tried_b.ravel()
 
     def risk(out: np.ndarray, text: np.ndarray, word: np.ndarray, weight: np.ndarray) -> None:
         out += risk_sums(text, word, weight, all_w, all_b)[0]
@@ -258,7 +258,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for batch in slices(batches):
             yield pa.record_batch([batch.column(0), pa.array(held.value.scores(batch.column(1)), pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of(docs)}, score double")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -757,6 +757,37 @@ def test_pipeline_stages_on_odd_tables(spark, docs, none, sf):
         assert stage(spark, none, sf).count() == 0
 
 
+def test_ids_of_another_type(spark, sf):
+    """Ids may be strings: the same rows as with numbers, wherever ids aren't put in order."""
+    P = pytest.importorskip("public_tokenizers")
+    d = spark.createDataFrame(ROWS, SCHEMA)
+    named = d.withColumn("doc_id", F.col("doc_id").cast("string"))
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    labels = spark.createDataFrame([("5", 1, 0), ("6", 0, 1)], "doc_id string, quality int, toxic int")
+    same = lambda f: rows(f(named)) == sorted(((None if r[0] is None else str(r[0]), *r[1:]) for r in f(d).collect()), key=str)
+    assert same(substring.removal) and same(simhash.fingerprints) and same(lambda x: decontaminate.report(x, bench))
+    model = pseudo_likelihood.train(d)
+    assert same(lambda x: pseudo_likelihood.score(x, model)) and same(lambda x: language.predict(x, language.fit(d, F.lit(True))))
+    assert {r.doc_id for r in simhash.keep_first(named).collect()} == {"1", "4", "5", "7", "9", "10"}
+    assert {r.doc_id for r in packing.pack_texts(named).collect()} == {None, *map(str, range(1, 11))}
+    assert quality.judged(named, labels).count() == len(ROWS) and toxicity.score(named, toxicity.fit(named, labels)).count() == len(ROWS)
+    files = tokens.write_tokens(named, fresh_path(spark, "tokens"), P.path("byte_bpe_50k.json"))
+    assert {r.doc_id for r in tokens.read_documents(files).collect()} == {None, *map(str, range(1, 11))}
+
+
+def test_shared_folder():
+    from types import SimpleNamespace as N
+
+    from judgeloom.llm import common
+
+    conf = lambda **kv: N(get=lambda k, default=None: kv.get(k.replace(".", "_"), default))
+    far = N(sparkContext=N(getConf=lambda: conf(), master="spark://x:7077", applicationId="a"), conf=conf())
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(far)
+    named = N(sparkContext=N(getConf=lambda: conf(spark_checkpoint_dir="hdfs://n/x/"), master="spark://x:7077"), conf=conf())
+    assert common.shared_dir(named) == "hdfs://n/x"
+
+
 def test_registry():
     assert {q.split("_")[0] for q in registry.queries()} == {f"op{k}" for k in range(1, 11)} and set(registry.oracle_sql()) <= set(registry.queries())
 
