@@ -175,7 +175,7 @@ def summed(rows: DataFrame, of_task: Callable[[Iterator[pa.RecordBatch]], np.nda
         if total is not None:
             yield packed(total)
 
-    got = rows.mapInArrow(first, "part binary").repartition(ADDERS).mapInArrow(add, "part binary").coalesce(1).mapInArrow(add, "part binary").collect()
+    got = rows.mapInArrow(first, "part binary").repartition(ADDERS).mapInArrow(add, "part binary").repartition(1).mapInArrow(add, "part binary").collect()
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(got[0].part), "<f8") if got else None
 
 
