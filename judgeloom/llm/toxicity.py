@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, fold, hash_words, kind_of, read_table, row_key, sampled, slices, summed, worker_threads
+from .common import ALNUM_WORDS, fold, hash_words, kind_of, read_table, row_key, sampled, slices, summed, worker_threads, written
 
 #: The bounded sample of confirmed toxic rows that the classifiers are fitted on.
 POSITIVES = 4000
@@ -223,8 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     if not prior:
         return none
     prior = min(max(prior, 1e-4), 0.9)
-    p = sampled(docs, positives, only=marks.filter("toxic = 1").select(F.col("doc_id").alias("mark")))
-    u = sampled(docs, unlabelled)
+    p = written(sampled(docs, positives, only=marks.filter("toxic = 1").select(F.col("doc_id").alias("mark"))), "positives")
+    u = written(sampled(docs, unlabelled), "unlabelled")
     words = _sample_words(p, u)
 
     def count(out: np.ndarray, text: np.ndarray, word: np.ndarray, weight: np.ndarray) -> None:
