@@ -129,6 +129,23 @@ def test_long_anchor(spark):
     assert rows(substring.removal(d, window=6, anchor=1, block_words=50)) == brute_substrings(pairs, 6)
 
 
+def test_template_lines(spark):
+    """Long runs of one anchor in many documents, of which two share a passage: no block may part them."""
+    rng = np.random.default_rng(3)
+    line = lambda k: f"this is one and the same template line with number {k} in it only"
+    pairs = []
+    for i in range(60):
+        numbers = (1000 * i + rng.permutation(1000))[:150].tolist()
+        if i in (0, 59):
+            numbers[70:75] = range(900_000, 900_005)
+        pairs.append((i, "\n".join(map(line, numbers))))
+    want = brute_substrings(pairs)
+    assert sum(x[2] > 0 for x in want) == 2
+    d = spark.createDataFrame(pairs, "doc_id long, text string")
+    for options in ({}, {"block_words": 2000}, {"block_words": 20_000, "hot": 2000}):
+        assert rows(substring.removal(d, **options)) == want, options
+
+
 def test_simhash(spark, docs, sf):
     got = simhash.near_duplicates(docs).collect()
     zero = {r.doc_id for r in got if r.fingerprint == "0" * 16}
