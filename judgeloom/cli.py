@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import inspect
 import json
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -20,22 +22,25 @@ SAMPLE_COLUMNS = ["question_id", "model_a", "model_b", "winner", "turn", "conver
 
 
 # Commands, flags and defaults of the command line, down to where a parser is returned.
-def _experiment(parser: argparse.ArgumentParser) -> None:
+def _experiment(parser: argparse.ArgumentParser, family: str) -> None:
     parser.add_argument("--data-path", required=True)
-    parser.add_argument("--output-dir", required=True)
+    parser.add_argument("--output-dir", default=f"outputs/{family}")
     parser.add_argument("--judge", required=True, help="module:function that loads a judge once a task")
     parser.add_argument("--model-name", default="judge")
     parser.add_argument("--limit", type=int)
     parser.add_argument("--consistency-runs", type=int, default=5)
     parser.add_argument("--sampling-temperature", type=float, default=0.7)
+    parser.add_argument("--tensor-parallel-size", type=int, default=1)
+    parser.add_argument("--max-model-len", type=int, default=8192)
+    parser.add_argument("--gpu-memory-utilization", type=float, default=0.9)
 
 
 def build_parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser("judgeloom", description=__doc__)
     commands = parser.add_subparsers(dest="command")
     commands.add_parser("schema-demo", help="print one run record")
-    for name in ("run-position", "run-authority", "run-bandwagon"):
-        _experiment(commands.add_parser(name))
+    for family in ("position", "authority", "bandwagon"):
+        _experiment(commands.add_parser(f"run-{family}"), family)
     sample = commands.add_parser("prepare-sample", help="equal numbers of rows for each winner, as CSV")
     sample.add_argument("--data-path", required=True, help="Parquet or JSON with the sample's columns")
     sample.add_argument("--output-path", required=True)
@@ -60,6 +65,16 @@ def prepare_sample(spark: SparkSession, data_path: str, output_path: str, target
     distinct_over(picked, "model_a", "model_b").show()
 
 
+def loader(judge: str, options: dict) -> Callable:
+    """The function that ``module:function`` names, with those of the options that it takes."""
+    module, _, name = judge.partition(":")
+    load = getattr(importlib.import_module(module), name)
+    takes = inspect.signature(load).parameters.values()
+    every = any(p.kind is p.VAR_KEYWORD for p in takes)
+    known = {p.name for p in takes}
+    return partial(load, **{k: v for k, v in options.items() if every or k in known})
+
+
 def main(argv: Sequence[str] | None = None) -> int:
     args = build_parser().parse_args(argv)
     if args.command is None:
@@ -71,9 +86,9 @@ def main(argv: Sequence[str] | None = None) -> int:
     elif args.command == "prepare-sample":
         prepare_sample(spark, args.data_path, args.output_path, args.target_size, args.seed)
     else:
-        module, _, name = args.judge.partition(":")
-        load = getattr(importlib.import_module(module), name)
-        options = {"model_name": args.model_name, "limit": args.limit, "consistency_runs": args.consistency_runs, "sampling_temperature": args.sampling_temperature}
+        engine = {name: getattr(args, name) for name in ("tensor_parallel_size", "max_model_len", "gpu_memory_utilization")}
+        load = loader(args.judge, {"model_name": args.model_name, **engine})
+        options = {"model_name": args.model_name, "limit": args.limit, "consistency_runs": args.consistency_runs, "sampling_temperature": args.sampling_temperature, "engine": engine}
         print(json.dumps(run_experiment(spark, args.data_path, args.output_dir, args.command.removeprefix("run-"), load, **options), indent=2))
     return 0
 

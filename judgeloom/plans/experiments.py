@@ -106,9 +106,11 @@ def run_records(examples: DataFrame, judged: DataFrame, spec: dict, bias_name: s
     )
 
 
-def run_experiment(spark: SparkSession, csv_path: str, output_dir: str, family: str, load: Callable[[], Judge], *, model_name: str = "judge", limit: int | None = None, consistency_runs: int = 5, sampling_temperature: float = 0.7) -> dict:
+def run_experiment(spark: SparkSession, csv_path: str, output_dir: str, family: str, load: Callable[[], Judge], *, model_name: str = "judge", limit: int | None = None, consistency_runs: int = 5, sampling_temperature: float = 0.7, engine: dict | None = None) -> dict:
     """A whole experiment: ``position``, or a cue family (``authority``, ``bandwagon``). Returns the summary.
 
+    ``engine`` has further options that the judge was loaded with; the summary names them.
+
     Usable rows are filtered and expanded, ties dropped from cue families, before any judge call. Judgments are written
     once to ``output_dir``/judgments and read from there, so a lost task costs its own calls and all outputs agree. Only
     keys, verdicts and probabilities are shuffled to the summaries; prompts are not.
@@ -136,7 +138,7 @@ def run_experiment(spark: SparkSession, csv_path: str, output_dir: str, family:
     pairs = position_pairs(slim) if family == "position" else cue_pairs(slim, family)
     write_jsonl(pairs.drop("source_row_index"), f"{output_dir}/pair_summary")
     summary = position_summary(pairs) if family == "position" else cue_summary(pairs, family)
-    about = {"model_name": model_name, "csv_path": csv_path, "output_dir": output_dir, "consistency_runs": consistency_runs, "sampling_temperature": float(sampling_temperature)}
+    about = {"model_name": model_name, "csv_path": csv_path, "output_dir": output_dir, "consistency_runs": consistency_runs, "sampling_temperature": float(sampling_temperature), **(engine or {})}
     about |= {"raw_records_path": f"{output_dir}/run_records", "pair_summary_path": f"{output_dir}/pair_summary"}
     return write_summary(summary.select(*[F.lit(v).alias(k) for k, v in about.items()], "*"), f"{output_dir}/{family}_summary.json")
 

@@ -1,10 +1,9 @@
 import json
 
 import pytest
-
 from pyspark.sql import functions as F
 
-from judgeloom.cli import demo, main, prepare_sample
+from judgeloom.cli import demo, loader, main, prepare_sample
 from judgeloom.streaming.votes import verdict_counts
 
 
@@ -41,6 +40,7 @@ def test_runner_flags(spark, tmp_path, capsys, monkeypatch):
     got = json.loads(capsys.readouterr().out)
     assert (got["model_name"], got["total_pairs_loaded"], got["consistency_runs"], got["sampling_temperature"]) == ("m1", 2, 1, 0.3)
     assert json.loads((tmp_path / "out" / "position_summary.json").read_text()) == got
+    assert (got["tensor_parallel_size"], got["max_model_len"], got["gpu_memory_utilization"]) == (1, 8192, 0.9)
     assert main(["run-bandwagon", *flags]) == 0 and json.loads(capsys.readouterr().out)["bandwagon_congruent_cue_follow_rate"] is not None
 
 
@@ -60,3 +60,10 @@ def test_sample_command(spark, tmp_path, capsys):
     assert main(["prepare-sample", "--data-path", str(tmp_path / "in"), "--output-path", str(tmp_path / "out"), "--target-size", "9", "--seed", "7"]) == 0
     got = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
     assert sorted(r.winner for r in got) == ["model_a"] * 3 + ["model_b"] * 3 + ["tie"] * 3 and "n_distinct" in capsys.readouterr().out
+
+
+def test_loader_takes_what_it_knows(tmp_path, monkeypatch):
+    (tmp_path / "loaders.py").write_text("def some(model_name, max_model_len=1): return model_name, max_model_len\ndef none(): return 0\ndef all_of(**options): return options\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    options = {"model_name": "m", "max_model_len": 5, "tensor_parallel_size": 2}
+    assert loader("loaders:some", options)() == ("m", 5) and loader("loaders:none", options)() == 0 and loader("loaders:all_of", options)() == options
