@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,22 +87,30 @@ def _passages(window: int, most: int = 200_000):
     """Texts and their repeated runs to passages for the reference blocks, and spans that are settled already.
 
     A run of a hot anchor goes window by window under the hash of the window itself. Of the equal hot windows that one
-    task meets, one goes on and stands for all; the others are settled. So a window reaches a block once a task at most.
+    task meets, one goes on and stands for all; the others are settled, neighbours as one span. So a window reaches a block
+    once a task at most, and a passage that many rows share makes a span or two a row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[bytes, list] = {}  # hot window: where it was first met, and whether it is settled
         out: list[tuple] = []
+        done: dict[tuple, list[tuple[int, int]]] = {}  # row: its settled spans, neighbours joined
 
         def flush(kind: pa.DataType) -> pa.RecordBatch:
+            out.extend((zlib.crc32(f"{row}{first}".encode()), *row, first, last, None) for row, spans in done.items() for first, last in spans)
+            done.clear()
             columns = zip(*out) if out else [[]] * 6
             types = [pa.int64(), kind, pa.int64(), pa.int32(), pa.int32(), pa.string()]
             made = pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["key", "doc_id", "th", "first", "last", "words"])
             out.clear()
             return made
 
-        def settle(place: tuple) -> None:
-            out.append((hash(place), *place, None))
+        def settle(doc_id, th: int, first: int, last: int) -> None:
+            spans = done.setdefault((doc_id, th), [])
+            if spans and spans[-1][0] <= first <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], max(spans[-1][1], last))
+            else:
+                spans.append((first, last))
 
         kind = None
         for batch in batches:
@@ -122,15 +131,15 @@ def _passages(window: int, most: int = 200_000):
                             met[key] = [place, False]
                             out.append((int.from_bytes(key[:8], "little", signed=True), *place, words.decode()))
                         else:
-                            settle(place)
+                            settle(*place)
                             if not met[key][1]:
                                 met[key][1] = True
-                                settle(met[key][0])
+                                settle(*met[key][0])
                     if len(met) > most:
                         met.clear()
-                if len(out) > 5000:
+                if len(out) + len(done) > 5000:
                     yield flush(kind)
-        if out:
+        if out or done:
             yield flush(kind)
 
     return run
