@@ -1,8 +1,4 @@
-"""Groups of near copies: shingle sets of a Jaccard similarity, banded MinHash candidates and an exact check.
-
-The covering masks of a 64-bit fingerprint cannot reach such a similarity: at 0.8 two texts differ in some ten bits, and
-masks that are sure to hide as many number in the thousands. So the pipeline's stage finds its candidates here.
-"""
+"""Groups of near copies: shingle sets of a Jaccard similarity, SimHash candidates under covering masks, and an exact check."""
 
 from __future__ import annotations
 
@@ -15,17 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_WORDS, hash_words, kind_of, mix, row_key, slices, written
+from .covering import SEED, TINY, meetings, set_prints
 from .graph import components
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Two sets of similarity s share no band with probability (1 - s**ROWS)**BANDS: 5e-8 at 0.8, less above.
-BANDS, ROWS = 32, 4
-SEED = 42
 #: Sets that a task holds, and sets that pass by them, at most on average.
-QUERIES, PASSING = 256, 1024
+QUERIES, PASSING = 512, 1024
+#: Draws whose nearest nodes are compared before all else.
+FIRST = 16
 
-_SETS = "th long, node long, bands array<long>"
+_SETS = "th long, node long, prints binary, tiny boolean"
 
 
 def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,29 +57,12 @@ def set_digests(grams: np.ndarray, bounds: np.ndarray) -> list[int]:
     return digests.view(np.int64)
 
 
-def band_keys(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(texts, BANDS): a hash of ROWS minima each; rows without shingles have zeros."""
-    rng = np.random.default_rng(SEED)
-    factors, shifts = rng.integers(0, 1 << 63, (2, BANDS * ROWS), np.int64).astype(np.uint64)
-    some = np.flatnonzero(np.diff(bounds))
-    out = np.zeros((len(bounds) - 1, BANDS), np.uint64)
-    if len(some):
-        key = np.zeros(len(some), np.uint64)
-        for k in range(BANDS * ROWS):
-            least = np.minimum.reduceat(grams * (2 * factors[k] + np.uint64(1)) + shifts[k], bounds[some])
-            key = mix(key + least) * np.uint64(0x9E3779B97F4A7C15)
-            if k % ROWS == ROWS - 1:
-                out[some, k // ROWS], key = key, np.zeros(len(some), np.uint64)
-    return out.view(np.int64)
-
-
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             grams, bounds = shingle_sets(batch.column(2), words)
-            keys = band_keys(grams, bounds)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(set_digests(grams, bounds)), bands], ["doc_id", "th", "node", "bands"])
+            prints, tiny = pa.array(set_prints(grams, bounds), pa.binary()), pa.array(np.diff(bounds) <= TINY)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(set_digests(grams, bounds)), prints, tiny], ["doc_id", "th", "node", "prints", "tiny"])
 
     return run
 
@@ -157,37 +136,41 @@ def _part(n: Column, each: int) -> Column:
     return F.pmod(F.xxhash64("node"), F.ceil(n / each).cast("long"))
 
 
+def _chosen(sets: DataFrame, texts: DataFrame, met: DataFrame, words: int) -> DataFrame:
+    """(node, grams) of the nodes of ``met``, each from one of its texts."""
+    rep = sets.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("x"))
+    rep = rep.select("node", F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_th"))
+    chosen = texts.join(rep, texts["doc_id"].eqNullSafe(rep["_id"]) & (texts["th"] == rep["_th"])).select("node", "text")
+    return written(chosen.mapInArrow(_grams(words), "node long, grams binary").dropDuplicates(["node"]), "grams")
+
+
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, th, root) of every row of (doc_id, text): equal roots for texts that pairs of ``similarity`` or more connect.
 
     The similarity is Jaccard's, of the sets of shingles of ``words`` words. Texts with equal sets are one node; those
-    without words are one as well. Nodes that share a band make a bucket. First every node is compared with the least of
-    each of its buckets, and what is linked is a group. Then, in buckets that still hold several groups, every node outside
-    the largest is a query against all of the bucket. So all pairs of a bucket that could connect two groups are compared
-    on their whole sets; those inside a group are not. Work is dealt in tasks of ``QUERIES`` and ``PASSING`` sets at most,
-    however large a bucket is.
+    without words are one as well. Nodes that meet under covering masks of SimHash fingerprints make a bucket; a pair at 0.8
+    meets in none of the draws with a probability of about 1e-6, one above with less. First every node is compared with the
+    nearest of each of its buckets in ``FIRST`` draws, and what is linked is a group. Then, in all buckets that still hold
+    several groups, every node outside the largest is a query against all of the bucket. So all pairs of a bucket that could
+    connect two groups are compared on their whole sets; those inside a group are not. Work is dealt in tasks of ``QUERIES``
+    and ``PASSING`` sets at most, however large a bucket is.
     """
     texts = docs.select("doc_id", row_key().alias("th"), "text")
     sets = written(texts.mapInArrow(_sets(words), f"doc_id {kind_of(docs)}, {_SETS}"), "shingle-sets")
-    keyed = sets.dropDuplicates(["node"]).select("node", F.posexplode("bands").alias("t", "key"))
-    shared = keyed.groupBy("t", "key").agg(F.min("node").alias("low"), F.count("*").alias("n")).filter("n > 1")
-    met = written(keyed.join(shared, ["t", "key"]), "buckets")
-
-    rep = sets.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("x"))
-    rep = rep.select("node", F.col("x.doc_id").alias("_id"), F.col("x.th").alias("_th"))
-    chosen = texts.join(rep, texts["doc_id"].eqNullSafe(rep["_id"]) & (texts["th"] == rep["_th"])).select("node", "text")
-    grams = written(chosen.mapInArrow(_grams(words), "node long, grams binary").dropDuplicates(["node"]), "grams")
-
-    pairs = met.filter("node <> low").groupBy("low", "node").agg(F.max("n").alias("of"))
+    prints, n = sets.filter("prints is not null").select("node", "prints", "tiny").dropDuplicates(["node"]), sets.count()
+    met = written(meetings(prints.withColumn("grp", F.col("node")), n, FIRST), "buckets")
+    pairs = met.select(F.greatest("node", "near").alias("low"), F.least("node", "near").alias("node"), "n").filter("low <> node").groupBy("low", "node").agg(F.max("n").alias("of"))
     pairs = pairs.select("low", "node", F.xxhash64("low", _part(F.col("of"), PASSING)).alias("task"), F.lit(None).cast("long").alias("grp"))
-    first = written(_links(pairs.select("task", F.col("low").alias("node"), "grp").distinct(), pairs, grams, similarity), "links")
+    first = written(_links(pairs.select("task", F.col("low").alias("node"), "grp").distinct(), pairs, _chosen(sets, texts, met, words), similarity), "links")
 
     groups = components(first).withColumnRenamed("node", "_node")
-    rest = met.filter("node <> low").join(groups, F.col("node") == F.col("_node"), "left").select("t", "key", "node", F.coalesce("root", "node").alias("grp"))
+    grouped = prints.join(groups, F.col("node") == F.col("_node"), "left").select("node", "prints", "tiny", F.coalesce("root", "node").alias("grp"))
+    rest = written(meetings(grouped, n), "open-buckets")
+    grams = _chosen(sets, texts, rest, words)
     sizes = rest.groupBy("t", "key", "grp").agg(F.count("*").alias("k"))
-    several = sizes.groupBy("t", "key").agg(F.count("*").alias("groups"), F.sum("k").alias("n"), F.max(F.struct("k", "grp")).alias("top")).filter("groups > 1")
+    several = sizes.groupBy("t", "key").agg(F.sum("k").alias("n"), F.max(F.struct("k", "grp")).alias("top"))
     several = several.select("t", "key", F.ceil((F.col("n") - F.col("top.k")) / QUERIES).alias("blocks"), F.ceil(F.col("n") / PASSING).alias("parts"), F.col("top.grp").alias("top"))
-    rest = written(rest.join(several, ["t", "key"]), "open-buckets")
+    rest = written(rest.select("t", "key", "node", "grp").join(several, ["t", "key"]), "queries")
     block, part = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node"), F.col("parts"))
     asked = rest.filter("grp <> top").select("*", F.explode(F.expr("sequence(0L, parts - 1)")).alias("k")).select(F.xxhash64("t", "key", block, "k").alias("task"), "node", "grp")
     passing = rest.select("*", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("k")).select(F.xxhash64("t", "key", "k", part).alias("task"), "node", "grp")

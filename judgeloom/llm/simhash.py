@@ -11,12 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import kind_of, read_table, row_key, slices, written
+from .covering import BITS, SEED, covering_masks
 from .graph import components
 from .shingles import SIMILARITY, WORDS, near_copies
 
-BITS = 64
-SEED = 42
-
 
 def _fingerprint(text: bytes, words: int) -> int:
     w = text.lower().split()
@@ -53,17 +51,6 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind_of(docs)}, fp long")
 
 
-def covering_masks(radius: int, bits: int = BITS) -> list[int]:
-    """2**(radius+1) - 1 masks of which at least one hides any given ``radius`` bits.
-
-    Bit i has a non-zero code m(i) of radius+1 bits, and mask v keeps the bits with an odd parity of m(i) & v. Any
-    ``radius`` codes are orthogonal to some non-zero v, and that mask hides all of them: two words that differ in
-    ``radius`` bits or fewer agree under it. That is certain, not just likely.
-    """
-    codes = (1 << (radius + 1)) - 1
-    return [sum(1 << i for i in range(bits) if bin((1 + i % codes) & v).count("1") % 2) for v in range(1, codes + 1)]
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -124,8 +111,9 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFra
 def keep_first(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stand for their group of near copies: the one of the smallest doc_id; all columns stay.
 
-    Groups are those of ``near_copies``. A row with a null doc_id stays only where its whole group has none, and then one
-    row does. Rows that repeat the smallest doc_id and its text stay together: they are one document to the rule.
+    Groups are those of ``near_copies``: SimHash fingerprints, covering masks, and a check on the whole sets. A row with a
+    null doc_id stays only where its whole group has none, and then one row does. Rows that repeat the smallest doc_id and
+    its text stay together: they are one document to the rule.
     """
     best = near_copies(docs, words, similarity).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("x"))
     best = best.select(F.col("x.doc_id").alias("_kept_id"), F.col("x.th").alias("_kept_th"))

@@ -222,6 +222,44 @@ def test_near_copies(spark, monkeypatch, sizes):
     assert len({r.component_id for r in simhash.near_duplicates(d).collect()}) > len(set(root)) + 40
 
 
+def test_near_copies_meet_under_covering_masks(spark):
+    """The stage's candidates are SimHash fingerprints that meet under a covering mask."""
+    from judgeloom.llm import covering
+
+    masks, rng = covering.draw_masks().tolist(), np.random.default_rng(6)
+    places = range(covering.SHARED, covering.SHARED + covering.COVERED)
+    for _ in range(300):  # any RADIUS covered bits are hidden by one, the shared bits by none
+        flips = sum(1 << int(k) for k in rng.choice(places, covering.RADIUS, replace=False))
+        assert any(not m & flips for m in masks) and all(m & 1 for m in masks)
+    # A pair of 0.8 at least meets in a draw, sets of four and five hashes as well.
+    for share, one, other in [(267, 33, 33), (4, 0, 1), (8, 1, 1)]:
+        h = rng.integers(0, 1 << 63, (200, share + one + other), np.int64).astype(np.uint64)
+        sets = [x for row in h for x in (row[: share + one], np.concatenate([row[:share], row[share + one :]]))]
+        prints = covering.set_prints(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+        d = spark.createDataFrame([(k, bytearray(p), len(sets[k]) <= covering.TINY, k) for k, p in enumerate(prints)], "node long, prints binary, tiny boolean, grp long")
+        met = defaultdict(set)
+        for r in covering.meetings(d, len(sets)).collect():
+            met[r.t, r.key].add(r.node)
+        together = {k // 2 for c in met.values() for k in c if k ^ 1 in c}
+        assert together == set(range(200))
+
+
+def test_clusters_against_all_pairs():
+    from judgeloom.llm import covering
+
+    rng, masks = np.random.default_rng(3), covering.draw_masks()
+    flip = lambda x, bits, n: x ^ sum(1 << int(k) for k in rng.choice(bits, n, replace=False))
+    base = [(int(rng.integers(0, 1 << 52)), int(rng.integers(0, 1 << 62))) for _ in range(20)]
+    rows_ = [(flip(w, 52, rng.integers(0, 9)), flip(m, 62, rng.integers(0, 14))) for w, m in base for _ in range(25)]
+    word, mark = np.array(rows_, np.uint64).T
+    apart = word[:, None] ^ word
+    near = np.any([(apart & m) == 0 for m in masks], 0) & (np.bitwise_count(apart).astype(int) + np.bitwise_count(mark[:, None] ^ mark) <= covering.APART)
+    want = np.arange(len(word))
+    while not np.array_equal(want, least := np.where(near, want, len(word)).min(1)):
+        want = least
+    assert np.array_equal(covering.clusters(word, mark, masks)[0], want)
+
+
 def test_keep_first_of_odd_rows(spark, docs, none):
     kept = rows(simhash.keep_first(docs), "doc_id", "text")
     assert kept == sorted([(r[0], r[1]) for r in ROWS if r[0] in (1, 4, 5, 7, 9, 10)], key=str)  # the least id of the wordless, of copies, and of 5 and 6
